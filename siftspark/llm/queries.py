@@ -51,6 +51,19 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_repeated_lines(a, min_docs=8, min_clusters=8, min_dates=2, date_col="date").select("doc_id", "body").distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from siftspark.llm.residue import residue
+
+    return residue(table(spark, d, "fetched")).select("doc_id")
+
+
+def p5_kept(spark: SparkSession, d: str) -> DataFrame:
+    from siftspark.llm.residue import residue
+
+    f = table(spark, d, "fetched")
+    return f.join(residue(f), "doc_id", "left_anti").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from siftspark.llm import neardup
 
@@ -69,6 +82,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return seen_before(table(spark, d, "articles"), table(spark, d, "incoming"), "body", ["batch_no", "seq"], k=4, t=0.7)
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    from siftspark.llm.bpe import encode_column
+
+    return encode_column(table(spark, d, "documents"), "doc_id", "text")
+
+
 def _ready(f):
     def run(spark: SparkSession, d: str) -> DataFrame:
         ship(spark)
