@@ -10,6 +10,20 @@ from siftspark.session import ship, table
 FIELDS = ["headline", "section", "state", "city"]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from siftspark.llm.wrapper import boilerplate
+
+    pages = boilerplate(table(spark, d, "page_texts"), table(spark, d, "sources"))
+    return pages.select("doc_id", F.explode("lines").alias("line_no")).distinct()
+
+
+def p1_main(spark: SparkSession, d: str) -> DataFrame:
+    from siftspark.llm.wrapper import boilerplate
+
+    pages = boilerplate(table(spark, d, "page_texts"), table(spark, d, "sources"))
+    return pages.select("doc_id", F.col("headline_main").alias("headline"), F.col("body_main").alias("body")).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from siftspark.llm.confusables import look_alikes
 
