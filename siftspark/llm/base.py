@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftspark.llm import text
+from siftspark.session import cut
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -34,27 +35,14 @@ def long_list(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def merge_counts(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], size: int, piece: int = 1 << 18) -> np.ndarray:
-    """Sum over all batches of ``fn``'s indices counted in ``size`` saturating cells.
+def _pieces(cells: np.ndarray, piece: int):
+    small = np.minimum(cells, 255).astype(np.uint8)
+    for k in range(0, len(small), piece):
+        yield k, small[k : k + piece].tobytes()
 
-    Every task holds one array of ``size`` 16-bit cells and emits it in pieces;
-    pieces are added on the executors. What reaches the driver are ``size`` bytes
-    (counts up to 255), whatever the number of rows.
-    """
 
-    def run(batches):
-        cells = np.zeros(size, dtype=np.uint32)
-        some = False
-        for b in batches:
-            i = fn(b)
-            if len(i):
-                some = True
-                cells += np.bincount(i, minlength=size).astype(np.uint32)
-        if some:
-            np.minimum(cells, 255, out=cells)
-            small = cells.astype(np.uint8)
-            for k in range(0, size, piece):
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "cells": pa.array([small[k : k + piece].tobytes()], pa.binary())})
+def _added(pieces: DataFrame, size: int) -> np.ndarray:
+    """Sum of the pieces (k, cells) on the executors; ``size`` bytes reach the driver."""
 
     def add(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -64,13 +52,62 @@ def merge_counts(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], size
                 total = x if total is None else np.minimum(total + x, 255)
         yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int64()), "cells": pa.array([total.astype(np.uint8).tobytes()], pa.binary())})
 
-    merged = df.mapInArrow(run, "k long, cells binary").groupBy("k").applyInArrow(add, "k long, cells binary")
     out = np.zeros(size, dtype=np.uint8)
-    for row in merged.toLocalIterator():
+    for row in pieces.groupBy("k").applyInArrow(add, "k long, cells binary").toLocalIterator():
         out[row.k : row.k + len(row.cells)] = np.frombuffer(row.cells, dtype=np.uint8)
     return out
 
 
+def merge_counts(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], size: int, piece: int = 1 << 18) -> np.ndarray:
+    """Sum over all batches of ``fn``'s indices counted in ``size`` cells that saturate at 255.
+
+    Every task holds one array and emits it in pieces, which are added on the
+    executors. What reaches the driver are ``size`` bytes, whatever the number of rows.
+    """
+
+    def run(batches):
+        cells = np.zeros(size, dtype=np.uint32)
+        some = False
+        for b in batches:
+            i = fn(b)
+            if len(i):
+                some = True
+                np.add.at(cells, i, 1)
+        if some:
+            for k, x in _pieces(cells, piece):
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "cells": pa.array([x], pa.binary())})
+
+    return _added(df.mapInArrow(run, "k long, cells binary"), size)
+
+
+def rows_and_counts(df: DataFrame, fn: Callable[[pa.RecordBatch, set], Iterator[tuple[list[pa.Array], np.ndarray]]], schema: str, size: int, piece: int = 1 << 18) -> tuple[DataFrame, np.ndarray]:
+    """Rows and a count array from one pass over the texts.
+
+    ``fn(batch, seen)`` yields (arrays of ``schema``, indices to count); ``seen``
+    is a set of the task's own. The pass is written once, in the shared folder.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    types = df.sparkSession.createDataFrame([], schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = to_arrow_schema(types.schema)
+
+    def run(batches):
+        cells = np.zeros(size, dtype=np.uint32)
+        seen: set = set()
+        for b in batches:
+            for arrays, i in fn(b, seen):
+                np.add.at(cells, i, 1)
+                n = len(arrays[0])
+                yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], [*names, "k", "cells"])
+        if seen:
+            for k, x in _pieces(cells, piece):
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in fields], pa.array([k], pa.int64()), pa.array([x], pa.binary())], [*names, "k", "cells"])
+
+    both = cut(df.mapInArrow(run, f"{schema}, k long, cells binary"))
+    return both.where("k is null").select(*names), _added(both.where("k is not null").select("k", "cells"), size)
+
+
 def hash128(*cols: Column) -> list[Column]:
     """Two independent 64-bit hashes of the columns: a key of fixed size in place of long values."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit(7), *reversed(cols), F.lit(13))]

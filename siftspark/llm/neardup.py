@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm import text
-from siftspark.llm.base import arrow_map, long_list, merge_counts
+from siftspark.llm.base import long_list, merge_counts, rows_and_counts
 from siftspark.operators.graph import connected_components
 from siftspark.session import cut
 
@@ -41,21 +41,35 @@ def cells(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (text.mix(v, 21) % text.U(CELLS)).astype(np.int64), CELLS + (text.mix(v, 22) % text.U(CELLS)).astype(np.int64)
 
 
-def token_counts(df: DataFrame, column: str, k: int) -> np.ndarray:
-    """Count sketch (count-min, two rows) of the shingles of all texts; equal texts within a task count once."""
+def unseen(cls: np.ndarray, some: np.ndarray, seen: set) -> np.ndarray:
+    """Which sets are not empty and new to the task; adds them to ``seen``."""
+    new = np.zeros(len(cls), dtype=bool)
+    for j, x in enumerate(cls.tolist()):
+        if some[j] and x not in seen:
+            seen.add(x)
+            new[j] = True
+    return new
 
-    def one(batch):
-        out, seen = [], set()
-        for _, _, v, o, ids in sets_of(batch, column, k):
-            keep = np.zeros(len(ids), dtype=bool)
-            for i, x in enumerate(ids.tolist()):
-                if x not in seen:
-                    seen.add(x)
-                    keep[i] = True
-            out += cells(v[np.repeat(keep, np.diff(o))])
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
-    return merge_counts(df.select(column), one, 2 * CELLS)
+def classes(docs: DataFrame, k: int, tokens=None) -> tuple[DataFrame, np.ndarray]:
+    """Members (id, cls) of ``docs`` (id, text), and the count sketch (count-min, two rows) of the tokens of all sets.
+
+    One pass over the texts. Equal texts within a task count once in the sketch.
+    ``tokens(words, values, offsets)`` gives (tokens, index of their text);
+    default are the shingles themselves.
+    """
+    tokens = tokens or (lambda w, v, o: (v, np.repeat(np.arange(len(o) - 1), np.diff(o))))
+
+    def one(batch, seen):
+        ids = batch.column("id")
+        for at, w, v, o, cls in sets_of(batch, "text", k):
+            some = w.per_doc > 0
+            new = unseen(cls, some, seen)
+            x, d = tokens(w, v, o)
+            keep = np.flatnonzero(some)
+            yield [ids.take(pa.array(keep + at)), pa.array(cls[keep].view(np.int64))], np.concatenate(cells(x[new[d]]))
+
+    return rows_and_counts(docs, one, f"id {dict(docs.dtypes)['id']}, cls long", 2 * CELLS)
 
 
 def count_of(sketch: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -86,7 +100,7 @@ def positions(doc: np.ndarray, key: np.ndarray, o: np.ndarray) -> np.ndarray:
 
 
 def prefixes(v: np.ndarray, o: np.ndarray, sketch: np.ndarray, t: float):
-    """(token index, rank or -1 in order 0, whether in the prefix of order 1) of tokens that can have a partner."""
+    """(token index, set, rank in order 0, rank in order 1, sizes) of the tokens that are in a prefix and can have a partner; rank -1: not in that prefix."""
     n = np.diff(o)
     doc = np.repeat(np.arange(len(n)), n)
     counts = count_of(sketch, v)
@@ -95,7 +109,7 @@ def prefixes(v: np.ndarray, o: np.ndarray, sketch: np.ndarray, t: float):
     p1 = positions(doc, order_key(counts, v, 1), o)
     in0, in1 = p0 < limit, p1 < limit
     i = np.flatnonzero((in0 | in1) & (counts > 1))
-    return i, doc[i], np.where(in0[i], p0[i], -1), in1[i], n
+    return i, doc[i], np.where(in0[i], p0[i], -1), np.where(in1[i], p1[i], -1), n
 
 
 def near_pairs(df: DataFrame, id_col: str, column: str, k: int = 5, t: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -108,75 +122,73 @@ def near_pairs(df: DataFrame, id_col: str, column: str, k: int = 5, t: float = 0
     group of copies of any size costs its rows only.
     """
     docs = df.where(F.col(column).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(column).alias("text"))
-    spark = df.sparkSession
-    sketch = spark.sparkContext.broadcast(token_counts(docs, "text", k))
-
-    def member(batch):
-        ids = batch.column("id")
-        for at, w, _, _, cls in sets_of(batch, "text", k):
-            keep = np.flatnonzero(w.per_doc > 0)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep + at)), pa.array(cls[keep].view(np.int64))], ["id", "cls"])
+    members, counts = classes(docs, k)
+    sketch = df.sparkSession.sparkContext.broadcast(counts)
 
     def posting(batches):
         seen: set[int] = set()
         for batch in batches:
             for _, w, v, o, cls in sets_of(batch, "text", k):
-                i, d, p0, in1, n = prefixes(v, o, sketch.value, t)
-                new = np.zeros(len(cls), dtype=bool)
-                for j, x in enumerate(cls.tolist()):
-                    if w.per_doc[j] and x not in seen:
-                        seen.add(x)
-                        new[j] = True
+                new = unseen(cls, w.per_doc > 0, seen)
+                i, d, p0, p1, n = prefixes(v, o, sketch.value, t)
                 ok = new[d]
-                i, d, p0, in1 = i[ok], d[ok], p0[ok], in1[ok]
+                i, d, p0, p1 = i[ok], d[ok], p0[ok], p1[ok]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[i].view(np.int64)), pa.array(cls[d].view(np.int64)), pa.array(n[d].astype(np.int32)), pa.array(p0.astype(np.int32)), pa.array(in1)],
+                    [pa.array(v[i].view(np.int64)), pa.array(cls[d].view(np.int64)), pa.array(n[d].astype(np.int32)), pa.array(p0.astype(np.int32)), pa.array(p1.astype(np.int32))],
                     ["tok", "cls", "n", "p", "q"],
                 )
 
-    members = arrow_map(docs, member, f"id {dict(docs.dtypes)['id']}, cls long").distinct()
-    posts = docs.select("text").mapInArrow(posting, "tok long, cls long, n int, p int, q boolean")
-    cand = candidates(posts, t)
-    return members, verified(docs, cand, k, t)
+    posts = docs.select("text").mapInArrow(posting, "tok long, cls long, n int, p int, q int")
+    members = members.distinct()
+    return members, verified(docs, members, candidates(posts, t), k, t)
 
 
-def candidates(posts: DataFrame, t: float) -> DataFrame:
-    """(a, b), a < b: classes that pass the prefix filter of both orders."""
+def candidates(posts: DataFrame, t: float, depth: int = 4) -> DataFrame:
+    """(a, b), a < b: classes that pass the prefix filter of both orders.
+
+    Two sets with ``need`` common tokens have e + 1 of them among the first
+    n - need + 1 + e tokens of each, for any e for which that is within the
+    prefixes. e is at most ``depth``: hits beyond that rank are dropped at once,
+    and fewer hits than e + 1 drop the pair.
+    """
+    posts = posts.repartition("tok").dropDuplicates(["tok", "cls"])
     a, b = posts.alias("a"), posts.alias("b")
-    na, nb, pa_, pb = F.col("a.n"), F.col("b.n"), F.col("a.p"), F.col("b.p")
+    na, nb = F.col("a.n"), F.col("b.n")
     need = F.ceil(t / (1 + t) * (na + nb) - F.lit(1e-9))
-    in0 = (pa_ >= 0) & (pb >= 0) & (F.least(na - pa_, nb - pb) >= need)
-    in1 = F.col("a.q") & F.col("b.q")
+    length = lambda n: n - F.ceil(t * n - F.lit(1e-9)) + 1
+    extra = F.greatest(F.lit(0), F.least(F.lit(depth), length(na) - 1 - (na - need), length(nb) - 1 - (nb - need)))
     sized = (na >= t * nb - F.lit(1e-9)) & (nb >= t * na - F.lit(1e-9))
-    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.cls") < F.col("b.cls")) & sized & (in0 | in1))
-    return pairs.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).agg(F.max(in0).alias("x"), F.max(in1).alias("y")).where("x and y").select("a", "b")
+    hit = lambda c: (F.col(f"a.{c}") >= 0) & (F.col(f"b.{c}") >= 0) & (F.col(f"a.{c}") <= na - need + extra) & (F.col(f"b.{c}") <= nb - need + extra)
+    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.cls") < F.col("b.cls")) & sized & (hit("p") | hit("q")))
+    rows = pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), extra.cast("int").alias("extra"), hit("p").cast("int").alias("x"), hit("q").cast("int").alias("y"))
+    return rows.groupBy("a", "b", "extra").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where("x > extra and y > extra").select("a", "b")
 
 
-def verified(docs: DataFrame, cand: DataFrame, k: int, t: float) -> DataFrame:
-    """Candidate pairs whose sets have similarity t or more. Sets are recomputed for classes in the candidate bitmap only."""
-    cand = cut(cand)
-
-    def flag(batch):
-        x = np.r_[batch.column("a").to_numpy(), batch.column("b").to_numpy()].view(text.U)
-        return (x % text.U(FLAGS)).astype(np.int64)
+def verified(docs: DataFrame, members: DataFrame, cand: DataFrame, k: int, t: float) -> DataFrame:
+    """Candidate pairs whose sets have similarity t or more.
 
-    flags = docs.sparkSession.sparkContext.broadcast(merge_counts(cand, flag, FLAGS))
+    Only texts of one member of each candidate class are made into sets again;
+    they are known by a bitmap of fixed size over hashes of their ids, whose
+    false hits cost time but change nothing.
+    """
+    cand = cut(cand)
+    each = cand.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    one = members.join(each, "cls").groupBy("cls").agg(F.min("id").alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(FLAGS)).alias("i"))
+    flags = docs.sparkSession.sparkContext.broadcast(merge_counts(one, lambda b: b.column("i").to_numpy(), FLAGS))
 
     def tokens(batches):
         seen: set[int] = set()
         for batch in batches:
+            keep = np.flatnonzero(flags.value[batch.column("i").to_numpy()] > 0)
+            if not len(keep):
+                continue
+            batch = batch.take(pa.array(keep))
             for _, w, v, o, cls in sets_of(batch, "text", k):
-                hit = (flags.value[(cls % text.U(FLAGS)).astype(np.int64)] > 0) & (w.per_doc > 0)
-                keep = []
-                for j in np.flatnonzero(hit).tolist():
-                    x = int(cls[j])
-                    if x not in seen:
-                        seen.add(x)
-                        keep.append(j)
-                if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[keep].view(np.int64)), long_list(v, o).take(pa.array(keep))], ["cls", "toks"])
-
-    sets = docs.select("text").mapInArrow(tokens, "cls long, toks array<long>")
+                new = np.flatnonzero(unseen(cls, w.per_doc > 0, seen))
+                yield pa.RecordBatch.from_arrays([pa.array(cls[new].view(np.int64)), long_list(v, o).take(pa.array(new))], ["cls", "toks"])
+
+    marked = docs.select(F.pmod(F.xxhash64("id"), F.lit(FLAGS)).alias("i"), "text")
+    sets = marked.mapInArrow(tokens, "cls long, toks array<long>")
     both = cand.join(sets.select(F.col("cls").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("toks").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.where(common >= F.lit(t) * (F.size("ta") + F.size("tb") - common) - F.lit(1e-9)).select("a", "b").distinct()
