@@ -18,43 +18,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.llm import neardup, text
-from siftspark.llm.base import long_list, merge_counts
-from siftspark.session import checkpoint_dir, cut
-
-#: Lowest share of the smaller text's bytes that a pair must have in common chunks.
-COVERAGE = 0.3
+from siftspark.session import checkpoint_dir
+
+#: Lowest share of the smaller text's bytes that a pair must have in common rare chunks (pairs of similarity 0.7 were measured at 0.22 and more).
+COVERAGE = 0.1
+#: Share of a text's bytes held by its most frequent chunks, which make no candidates.
+FREQUENT = 0.3
+#: Words on both sides among which a chunk's last word has the smallest rolling hash; chunks have about 2 * RADIUS + 1 words.
+RADIUS = 3
 #: Texts of fewer words also give all their shingles as chunks, for a chunk may be as long as they are.
 SHORT = 64
 
 
 def chunk_rows(docs: DataFrame, k: int, t: float, sketch) -> DataFrame:
-    """(chunk, cls, bytes, total, rare) of each distinct text of ``docs`` (text).
+    """(chunk, cls, bytes, total, n, rare) of each distinct text of ``docs`` (text).
 
     rare: the chunk is among the rarest ones that together hold all but
-    COVERAGE of the text's bytes (chunks), or among the prefix of the set
-    (shingles of short texts). A pair that shares COVERAGE or more shares a
-    chunk that is rare on both sides.
+    FREQUENT of the text's bytes (chunks), or among the prefix of the set
+    (shingles of short texts).
     """
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for _, w, v, o, cls in neardup.sets_of(batch, "text", k):
-                new = np.zeros(len(cls), dtype=bool)
-                for j, x in enumerate(cls.tolist()):
-                    if w.per_doc[j] and x not in seen:
-                        seen.add(x)
-                        new[j] = True
+                new = neardup.unseen(cls, w.per_doc > 0, seen)
                 if not new.any():
                     continue
-                h, size, d = w.chunks()
+                h, size, d = w.chunks(RADIUS)
                 total = np.bincount(d, weights=size, minlength=len(cls)).astype(np.int64)
                 order = np.lexsort((text.mix(h, 41), neardup.count_of(sketch.value, h), d))
                 h, size, d = h[order], size[order], d[order]
                 before = np.cumsum(size) - size
                 first = np.searchsorted(d, np.arange(len(cls)))
-                rare = before - before[np.minimum(first[d], len(before) - 1)] <= (1 - COVERAGE) * total[d] + 1
-                i, sd, p, _, n = neardup.prefixes(v, o, sketch.value, t)
+                rare = before - before[np.minimum(first[d], len(before) - 1)] <= (1 - FREQUENT) * total[d] + 1
+                i, sd, p, _, _ = neardup.prefixes(v, o, sketch.value, t)
                 i, sd = i[p >= 0], sd[p >= 0]
                 short = w.per_doc[sd] < SHORT
                 i, sd = i[short], sd[short]
@@ -75,31 +73,21 @@ def chunk_rows(docs: DataFrame, k: int, t: float, sketch) -> DataFrame:
                         pa.array(cls[alld].view(np.int64)),
                         pa.array(np.r_[size, np.zeros(len(sh), dtype=np.int64)].astype(np.int32)),
                         pa.array(total[alld].astype(np.int32)),
+                        pa.array(np.diff(o)[alld].astype(np.int32)),
                         pa.array(np.r_[rare, np.ones(len(sh), dtype=bool)]),
                     ],
-                    ["chunk", "cls", "bytes", "total", "rare"],
+                    ["chunk", "cls", "bytes", "total", "n", "rare"],
                 )
 
-    return docs.select("text").mapInArrow(run, "chunk long, cls long, bytes int, total int, rare boolean")
-
+    return docs.select("text").mapInArrow(run, "chunk long, cls long, bytes int, total int, n int, rare boolean")
 
-def chunk_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """Count sketch of chunks, and of shingles of short texts, over all distinct texts of each task."""
 
-    def one(batch):
-        out, seen = [], set()
-        for _, w, v, o, ids in neardup.sets_of(batch, "text", k):
-            keep = np.zeros(len(ids), dtype=bool)
-            for i, x in enumerate(ids.tolist()):
-                if x not in seen:
-                    seen.add(x)
-                    keep[i] = True
-            h, _, d = w.chunks()
-            short = np.repeat(keep & (w.per_doc < SHORT), np.diff(o))
-            out += [*neardup.cells(h[keep[d]]), *neardup.cells(v[short])]
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
-
-    return merge_counts(docs, one, 2 * neardup.CELLS)
+def chunk_tokens(w: text.Words, v: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the count sketch counts: chunks, and shingles of short texts."""
+    h, _, d = w.chunks(RADIUS)
+    doc = np.repeat(np.arange(len(o) - 1), np.diff(o))
+    short = w.per_doc[doc] < SHORT
+    return np.r_[h, v[short]], np.r_[d, doc[short]]
 
 
 class ChunkTable:
@@ -116,15 +104,17 @@ class ChunkTable:
         return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/generation=*")
 
 
-def shared(new: DataFrame, table: DataFrame) -> DataFrame:
-    """(a, b): pairs of different records, a of ``new``, whose common chunks pass the coverage bound (or common rare shingles, if short)."""
+def shared(new: DataFrame, table: DataFrame, t: float) -> DataFrame:
+    """(a, b): pairs of different records, a of ``new``, whose common rare chunks pass the coverage bound; pairs of short texts need one common rare shingle.
+
+    Sets whose sizes alone exclude similarity t are dropped within the join.
+    """
     x, y = new.where("rare").alias("x"), table.where("rare").alias("y")
-    hit = x.join(y, (F.col("x.chunk") == F.col("y.chunk")) & (F.col("x.cls") != F.col("y.cls")))
-    least = F.least(F.col("x.total"), F.col("y.total"))
-    most = F.greatest(F.col("x.total"), F.col("y.total"))
-    pairs = hit.where(least >= 0.35 * most).groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.sum(F.least("x.bytes", "y.bytes")).alias("common"), F.min(least).alias("least"), F.max(F.col("x.bytes") == 0).alias("short"))
-    # rare chunks hold all but COVERAGE of the bytes: this total lacks at most the other, frequent ones
-    return pairs.where(F.col("short") | (F.col("common") >= F.lit(0.08) * F.col("least"))).select("a", "b")
+    sized = (F.col("x.n") >= t * F.col("y.n") - F.lit(1e-9)) & (F.col("y.n") >= t * F.col("x.n") - F.lit(1e-9))
+    hit = x.join(y, (F.col("x.chunk") == F.col("y.chunk")) & (F.col("x.cls") != F.col("y.cls")) & sized)
+    rows = hit.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.bytes", "y.bytes").alias("common"), F.least("x.total", "y.total").alias("least"))
+    pairs = rows.groupBy("a", "b", "least").agg(F.sum("common").alias("common"), F.min("common").alias("low"))
+    return pairs.where((F.col("low") == 0) | (F.col("common") >= F.lit(COVERAGE) * F.col("least"))).select("a", "b")
 
 
 def seen_before(history: DataFrame, batches: DataFrame, text_col: str, order: list[str], k: int = 5, t: float = 0.8, table: ChunkTable | None = None) -> DataFrame:
@@ -137,26 +127,21 @@ def seen_before(history: DataFrame, batches: DataFrame, text_col: str, order: li
     spark = batches.sparkSession
     b, s = order
     place = F.col(b).cast("long") * F.lit(1 << 32) + F.col(s).cast("long")
-    h = history.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.lit(-1).cast("long").alias("at"))
-    n = batches.where(F.col(text_col).isNotNull() & F.col(b).isNotNull() & F.col(s).isNotNull()).select(F.col(text_col).alias("text"), place.alias("at"))
+    # an id of each row: its place in the order, or below zero for the history
+    h = history.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), (-1 - F.abs(F.xxhash64(text_col) % (1 << 62))).alias("id"))
+    n = batches.where(F.col(text_col).isNotNull() & F.col(b).isNotNull() & F.col(s).isNotNull()).select(F.col(text_col).alias("text"), place.alias("id"))
     both = h.union(n)
-    sketch = spark.sparkContext.broadcast(chunk_counts(both.select("text"), k))
+    rows, counts = neardup.classes(both, k, chunk_tokens)
+    rows = rows.distinct()
+    sketch = spark.sparkContext.broadcast(counts)
     table = table or ChunkTable(spark)
     table.append(chunk_rows(h, k, t, sketch), 0)
     fresh = chunk_rows(n, k, t, sketch)
     table.append(fresh, 1)
     fresh = table.read().where("generation = 1")
-    cand = shared(fresh, table.read()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = neardup.verified(both, cand, k, t)
-
-    def member(batches):
-        for batch in batches:
-            at_col = batch.column("at")
-            for at, w, _, _, cls in neardup.sets_of(batch, "text", k):
-                keep = np.flatnonzero(w.per_doc > 0)
-                yield pa.RecordBatch.from_arrays([at_col.take(pa.array(keep + at)), pa.array(cls[keep].view(np.int64))], ["at", "cls"])
-
-    rows = cut(both.mapInArrow(member, "at long, cls long").distinct())
+    cand = shared(fresh, table.read(), t).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = neardup.verified(both, rows, cand, k, t)
+    rows = rows.select("cls", F.greatest("id", F.lit(-1)).alias("at")).distinct()
     first = rows.groupBy("cls").agg(F.min("at").alias("first"))
     near = links.select("a", "b").union(links.select("b", "a")).toDF("cls", "other")
     near = near.join(first.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.min("first").alias("near"))
