@@ -102,6 +102,19 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_bins(spark: SparkSession, d: str) -> DataFrame:
+    from siftspark.llm.packing import fill_all
+
+    return fill_all(table(spark, d, "documents"), table(spark, d, "container_sizes"))
+
+
+def p9_use(spark: SparkSession, d: str) -> DataFrame:
+    bins = p9_bins(spark, d).groupBy("container_id", "bin").agg(F.sum("tokens").alias("tokens"))
+    c = table(spark, d, "container_sizes").select("container_id", "capacity").distinct()
+    use = bins.groupBy("container_id").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"))
+    return use.join(c, "container_id").withColumn("used", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6))
+
+
 def _ready(f):
     def run(spark: SparkSession, d: str) -> DataFrame:
         ship(spark)
