@@ -115,6 +115,21 @@ def p9_use(spark: SparkSession, d: str) -> DataFrame:
     return use.join(c, "container_id").withColumn("used", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from siftspark.llm import pii
+
+    docs = table(spark, d, "documents")
+    model = pii.train_on(docs, table(spark, d, "names"))
+    return pii.find(docs, model).select("doc_id", "line_no", "kind").distinct()
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    from siftspark.llm import pii
+
+    docs = table(spark, d, "documents")
+    return pii.mask(docs, pii.train_on(docs, table(spark, d, "names")))
+
+
 def _ready(f):
     def run(spark: SparkSession, d: str) -> DataFrame:
         ship(spark)
