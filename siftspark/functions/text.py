@@ -162,7 +162,8 @@ def minhash_coefficients(count: int = 64, seed: int = 42, prime: int = 214748364
 def minhash(sets: Column, count: int = 64, seed: int = 42, prime: int = 2147483647) -> Column:
     """Signature of an array of shingles; zeros for an empty one."""
     h = F.transform(sets, lambda s: F.crc32(s.cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF)))
-    each = [F.array_min(F.transform(h, lambda x, a=a, b=b: (x * F.lit(a) + F.lit(b)) % F.lit(prime))) for a, b in minhash_coefficients(count, seed, prime)]
+    one = lambda a, b: F.array_min(F.transform(h, lambda x: (x * F.lit(a) + F.lit(b)) % F.lit(prime)))
+    each = [one(a, b) for a, b in minhash_coefficients(count, seed, prime)]
     return F.when(F.size(sets) == 0, F.array_repeat(F.lit(0).cast("long"), count)).otherwise(F.array(*each))
 
 

@@ -160,9 +160,14 @@ def section(url: Column, mapping: dict[str, str], given: Column | None = None) -
     return F.coalesce(F.element_at(m, hit), by_url, F.lit("general"))
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch, of a timestamp with or without time zone (then in the session's)."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def recency(ts: Column, now: Column, tau_days: float = 7.0) -> Column:
     """exp(-age / tau), age in days and not below zero; 0 without a time."""
-    age = (F.unix_micros(now) - F.unix_micros(ts)) / F.lit(86400e6)
+    age = (micros(now) - micros(ts)) / F.lit(86400e6)
     return F.coalesce(F.exp(-F.greatest(age, F.lit(0.0)) / tau_days), F.lit(0.0))
 
 

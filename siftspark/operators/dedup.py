@@ -6,15 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as X
+from siftspark.functions.web import micros
 from siftspark.operators.graph import connected_components
 from siftspark.session import cut
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body", n: int = 4) -> DataFrame:
-    """(cls, shingles, sig): one row per distinct non-empty shingle set of the table; cls is its hash."""
+    """(cls, shingles, sig): one row per distinct non-empty shingle set of the table; cls is its hash.
+
+    Signatures are minima over exploded shingles, so the hash functions run in
+    generated code and are aggregated within each task.
+    """
     s = docs.select(X.shingles(F.col(text_col), n).alias("shingles")).where(F.size("shingles") > 0)
-    s = s.withColumn("cls", F.xxhash64(F.array_sort("shingles"))).dropDuplicates(["cls"])
-    return s.withColumn("sig", X.minhash(F.col("shingles")))
+    s = cut(s.withColumn("cls", F.xxhash64(F.array_sort("shingles"))).dropDuplicates(["cls"]))
+    h = s.select("cls", F.explode("shingles").alias("x")).select("cls", F.crc32(F.col("x").cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF)).alias("h"))
+    mins = [F.min((F.col("h") * F.lit(a) + F.lit(b)) % F.lit(2147483647)).alias(f"m{i}") for i, (a, b) in enumerate(X.minhash_coefficients())]
+    sig = h.groupBy("cls").agg(*mins).select("cls", F.array(*[f"m{i}" for i in range(len(mins))]).alias("sig"))
+    return s.join(sig, "cls")
 
 
 def band_pairs(sigs: DataFrame, bands: int = 16, rows: int = 4) -> DataFrame:
@@ -40,7 +48,7 @@ def verified_pairs(sigs: DataFrame, pairs: DataFrame, threshold: float = 0.7) ->
 
 def within(a: Column, b: Column, hours: float) -> Column:
     """At most ``hours`` apart; an unknown time passes."""
-    return a.isNull() | b.isNull() | (F.abs(F.unix_micros(a) - F.unix_micros(b)) <= int(hours * 3600e6))
+    return a.isNull() | b.isNull() | (F.abs(micros(a) - micros(b)) <= int(hours * 3600e6))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body", date_col: str | None = "date", threshold: float = 0.7, hours: float = 24.0, lsh: bool = True) -> DataFrame:
@@ -50,9 +58,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "bo
     ``lsh`` candidates come from the exact shingle self-join.
     """
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(date_col) if date_col else F.lit(None).cast("timestamp")).alias("at")).distinct()
-    sigs = cut(signatures(d, "id", "text").select("cls", "shingles", "sig"))
+    sigs = signatures(d, "id", "text")
     if lsh:
-        cand = band_pairs(sigs)
+        cand = band_pairs(cut(sigs.select("cls", "sig")))
     else:
         e = sigs.select("cls", F.explode("shingles").alias("s")).select("cls", F.xxhash64("s").alias("s"))
         cand = e.alias("a").join(e.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.cls") < F.col("b.cls"))).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()

@@ -151,7 +151,7 @@ def randomization(pairs: DataFrame, rounds: int = 10_000, seed: int = 0) -> Data
     """One row (n, mean_diff, p): share of sign flips at least as extreme, (hits + 1) / (rounds + 1). Signs are bits of a hash of (round, query), so rounds are spread over tasks."""
     d = pairs.where("a is not null and b is not null").select("qid", (F.col("a") - F.col("b")).alias("d"))
     real = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"))
-    flips = d.sparkSession.range(rounds).withColumnRenamed("id", "round").join(F.broadcast(d))  # a bounded number of rounds for each query
+    flips = d.select("qid", "d", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     sign = F.when(F.xxhash64(F.lit(seed), "round", "qid").bitwiseAND(1) == 0, 1.0).otherwise(-1.0)
     sums = flips.groupBy("round").agg(F.avg(sign * F.col("d")).alias("m")).join(F.broadcast(real))
     hits = sums.agg(F.sum((F.abs("m") >= F.abs("mean_diff") - 1e-12).cast("int")).alias("hits"), F.first("n").alias("n"), F.first("mean_diff").alias("mean_diff"))
@@ -183,10 +183,10 @@ def learn_to_rank(rows: DataFrame, features: list[str], rate: float = 0.1, steps
     Training rows are judged results (bounded by needs times depth). Features
     are standardised, classes balanced; one task per left-out need.
     """
-    needs = rows.select("need").distinct().withColumnRenamed("need", "out")
+    needs = rows.agg(F.collect_set("need").alias("needs"))  # one row: the needs of a judged collection
     kinds = dict(rows.dtypes)
     cols = ["qid", "need", "doc_id", "grade", *features]
-    every = rows.select(*cols).join(F.broadcast(needs))
+    every = rows.select(*cols).join(F.broadcast(needs)).withColumn("out", F.explode("needs")).drop("needs")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf["out"].iloc[0]

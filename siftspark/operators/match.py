@@ -94,6 +94,6 @@ def field_values(docs: DataFrame, col: str) -> DataFrame:
 
 
 def top(df: DataFrame, k: int, score: str = "score", last_first: bool = True, by: str = "qid") -> DataFrame:
-    """The k best of each query with their rank from 1. Equal scores: larger doc_id first (``last_first``), or smaller."""
-    order = [F.desc(score), F.desc("doc_id") if last_first else F.asc("doc_id")]
+    """The k best of each query with their rank from 1. Scores equal to nine digits: larger doc_id first (``last_first``), or smaller."""
+    order = [F.desc(F.round(score, 9)), F.desc("doc_id") if last_first else F.asc("doc_id")]
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)

@@ -83,7 +83,7 @@ def rrf(runs: list[DataFrame], k: int = 10, depth: int = 50, c: int = 60) -> Dat
     every = ranked[0]
     for r in ranked[1:]:
         every = every.unionByName(r)
-    return top(every.groupBy("qid", "doc_id").agg(F.sum(1.0 / (c + F.col("rank"))).alias("score")), k, last_first=False)
+    return top(every.groupBy("qid", "doc_id").agg(F.round(F.sum(1.0 / (c + F.col("rank"))), 12).alias("score")), k, last_first=False)
 
 
 def cascade(q: DataFrame, index: Index, scored: DataFrame, k: int = 10) -> DataFrame:
@@ -117,7 +117,7 @@ def cascade(q: DataFrame, index: Index, scored: DataFrame, k: int = 10) -> DataF
     counts = best.groupBy("qid", "stage").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(W.partitionBy("qid").orderBy("stage").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     open_ = counts.withColumn("before", before).where(F.col("before") < k).select("qid", "stage")
-    order = W.partitionBy("qid").orderBy("stage", F.desc("score"), "doc_id")
+    order = W.partitionBy("qid").orderBy("stage", F.desc(F.round("score", 9)), "doc_id")
     return best.join(small(open_), ["qid", "stage"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -215,6 +215,45 @@ def vector_cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def dense_search(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = 20_000) -> DataFrame:
+    """(qid, doc_id, sim, rank): the k nearest of ``docs`` (doc_id, vec) by cosine for each of ``queries`` (qid, vec), without the row of the same id.
+
+    A set of queries against all rows: queries go in blocks of about ``block``
+    vectors, which is what a task holds; every task keeps its k best per query,
+    so what is shuffled does not grow with the rows of a task. Ties to nine
+    digits go to the smaller id. Null vectors match nothing.
+    """
+    import numpy as np
+    import pandas as pd
+
+    queries, docs = queries.where("vec is not null and qid is not null"), docs.where("vec is not null and doc_id is not null")
+    blocks = max(1, -(-queries.count() // block))
+    kinds = dict(queries.dtypes)["qid"], dict(docs.dtypes)["doc_id"]
+    out = None
+    for i in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).select("qid", "vec").toPandas()
+        m = np.stack(rows["vec"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1))
+        shared = docs.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
+
+        def best(batches, shared=shared):
+            ids, qm = shared.value
+            for pdf in batches:
+                v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                own = pdf["doc_id"].to_numpy()
+                for a in range(0, len(ids), 256):
+                    s = np.round(qm[a : a + 256] @ v.T, 9)
+                    s[ids[a : a + 256][:, None] == own[None, :]] = -9
+                    for j in range(s.shape[0]):
+                        order = np.lexsort((own, -s[j]))[:k]
+                        order = order[s[j][order] > -2]
+                        yield pd.DataFrame({"qid": ids[a + j], "doc_id": own[order], "sim": s[j][order]})
+
+        part = docs.select("doc_id", "vec").mapInPandas(best, f"qid {kinds[0]}, doc_id {kinds[1]}, sim double")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "doc_id"))).where(F.col("rank") <= k)
+
+
 def text_vectors(post: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, term, w): unit log-tf vectors of the documents in ``ids`` (doc_id)."""
     tf = post.join(small(ids.distinct()), "doc_id").groupBy("doc_id", "term").agg((1 + F.log10(F.sum("tf"))).alias("w"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftspark.functions.web import micros
 from siftspark.operators.index import Index
 from siftspark.operators.match import small, top
 from siftspark.operators.rank import query_vector
@@ -39,10 +40,10 @@ def index_elimination(q: DataFrame, index: Index, k: int = 10, min_idf: float =
 def champions(index: Index, r: int = 50, static: DataFrame | None = None) -> DataFrame:
     """(term, doc_id, w): the r documents of each term with the largest weight (plus static score); to be written once."""
     w = weights(index)
-    order = F.col("w")
+    order = F.round("w", 9)
     if static is not None:
         w = w.join(static, "doc_id")
-        order = F.col("w") + F.col("g")
+        order = F.round(F.col("w") + F.col("g"), 9)
     ranked = w.withColumn("r", F.row_number().over(W.partitionBy("term").orderBy(order.desc(), F.desc("doc_id"))))
     return ranked.where(F.col("r") <= r).select("term", "doc_id", "w")
 
@@ -60,7 +61,7 @@ def champion_search(q: DataFrame, index: Index, champs: DataFrame, k: int = 10)
 
 def tier(date: Column, now: Column) -> Column:
     """1: up to two days old, 2: up to seven, 3: older or without a date."""
-    age = (F.unix_micros(now) - F.unix_micros(date)) / F.lit(86400e6)
+    age = (micros(now) - micros(date)) / F.lit(86400e6)
     return F.when(date.isNull(), 3).when(age <= 2, 1).when(age <= 7, 2).otherwise(3)
 
 
@@ -101,7 +102,8 @@ def cluster_search(q: DataFrame, index: Index, followers: DataFrame, k: int = 10
     w = weights(index)
     lead = followers.select("leader").distinct()
     near = _score(w.join(lead, w.doc_id == lead.leader, "left_semi"), v).withColumnRenamed("doc_id", "leader")
-    every = v.select("qid").distinct().join(F.broadcast(lead), F.lit(True)).join(near, ["qid", "leader"], "left")
+    names = lead.agg(F.collect_list("leader").alias("leaders"))  # one row of about sqrt(N) ids
+    every = v.select("qid").distinct().join(F.broadcast(names)).select("qid", F.explode("leaders").alias("leader")).join(near, ["qid", "leader"], "left")
     order = W.partitionBy("qid").orderBy(F.desc(F.round(F.coalesce("score", F.lit(0.0)), 9)), "leader")
     nearest = every.select("qid", "leader", F.row_number().over(order).alias("place"))
     x = _score(w, v).join(followers, "doc_id").join(nearest, ["qid", "leader"])
@@ -114,7 +116,7 @@ def cluster_search(q: DataFrame, index: Index, followers: DataFrame, k: int = 10
 def impact_postings(index: Index) -> DataFrame:
     """(term, doc_id, w, r, top_w): postings by falling weight with their place; to be written once, sorted."""
     by = W.partitionBy("term")
-    return weights(index).withColumns({"r": F.row_number().over(by.orderBy(F.desc("w"), "doc_id")), "top_w": F.max("w").over(by)})
+    return weights(index).withColumns({"r": F.row_number().over(by.orderBy(F.desc(F.round("w", 9)), "doc_id")), "top_w": F.max("w").over(by)})
 
 
 def impact_search(q: DataFrame, index: Index, ordered: DataFrame, k: int = 10, max_docs: int | None = 50, min_share: float = 0.0) -> DataFrame:

@@ -41,7 +41,7 @@ def is_small(df: DataFrame, limit: int = 8 << 20) -> bool:
     File sizes are known before anything runs, so this costs no job; estimates
     of joins grow multiplicatively, i.e. it errs towards ``False``.
     """
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= limit
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
 def ship(spark: SparkSession) -> None:

@@ -49,7 +49,7 @@ def can_fetch(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls`` (host, url) with allowed: the longest matching pattern decides, a tie allows, no match allows."""
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     u = urls.select("host", "url").distinct().withColumn("p", F.when(path == "", "/").otherwise(path))
-    best = u.join(rules, "host").where(F.col("p").rlike(F.col("regex"))).groupBy("host", "url").agg(F.max_by("allow", F.struct("len", "allow")).alias("allow"))
+    best = u.join(rules, "host").where(F.rlike("p", F.col("regex"))).groupBy("host", "url").agg(F.max_by("allow", F.struct("len", "allow")).alias("allow"))
     return urls.join(best, ["host", "url"], "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
 
 

@@ -71,7 +71,7 @@ def poll_interval(rate: Column, k: float = 1800.0, floor: float = 0.0833) -> Col
 
 def burst_scores(events: DataFrame, key: str = "category", ts: str = "ts") -> DataFrame:
     """Events with c1, c6 (counts of the trailing hour and six hours, ends included), score c1 / (c6 / 6 + 1) and tier Q0 above 2, else Q1. Null and "general" keys are left out."""
-    x = events.where(F.col(key).isNotNull() & (F.col(key) != "general")).withColumn("__s", F.unix_micros(ts))
+    x = events.where(F.col(key).isNotNull() & (F.col(key) != "general")).withColumn("__s", Wb.micros(F.col(ts)))
     by = W.partitionBy(key).orderBy("__s")
     x = x.withColumns({"c1": F.count("*").over(by.rangeBetween(-3600 * 1_000_000, 0)), "c6": F.count("*").over(by.rangeBetween(-21600 * 1_000_000, 0))}).drop("__s")
     score = F.col("c1") / (F.col("c6") / 6 + 1)
