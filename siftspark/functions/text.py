@@ -133,17 +133,21 @@ def consonant_code(c: Column) -> Column:
 
 def kgrams(c: Column, k: int = 2) -> Column:
     """Distinct k-grams of the word between two $ marks; the whole marked word if it is no longer than k."""
-    s = F.concat(F.lit("$"), c, F.lit("$"))
-    n = F.char_length(s)
-    return F.when(n <= k, F.array(s)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))))
+    marked = F.concat(F.lit("$"), c, F.lit("$"))
+    parts = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s) - k + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(k))))
+    return bind(marked, lambda s: F.when(F.char_length(s) <= k, F.array(s)).otherwise(parts(s)))
+
+
+def bind(c: Column, f) -> Column:
+    """``f`` of a column that is computed once, however often ``f`` uses it within lambdas."""
+    return F.transform(F.array(c), f)[0]
 
 
 def shingles(c: Column, n: int = 4) -> Column:
     """Distinct n-word shingles (white-space words); a shorter text is one shingle, a wordless one has none, null gives none."""
-    w = F.filter(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "), " "), lambda x: x != "")
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.concat_ws(" ", w))).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(n)))))
-    )
+    words = F.filter(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "), " "), lambda x: x != "")
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(n)))))
+    return bind(words, lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) < n, F.array(F.concat_ws(" ", w))).otherwise(runs(w)))
 
 
 def content_hash(c: Column) -> Column:
