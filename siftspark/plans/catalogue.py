@@ -410,7 +410,11 @@ def duplicate_lineage(spark, d):
 # ------------------------------------------------------------------ web
 
 
-@register("page_types", None)
+_KEY = "replace(lower(nfc_normalize(coalesce({}, ''))), chr(2364), '')"
+_PATH = r"trim(regexp_replace(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''), '/')"
+
+
+@register("page_types", f"with f as (select distinct doc_id, headline, url, {_KEY.format('headline')} as h, {_PATH} as p from fetched) select distinct doc_id, case when regexp_matches(h, '{Wb.HOROSCOPE_WORDS}') then 'horoscope' when regexp_matches(coalesce(headline, ''), '\\s-\\s[a-z]') then 'article' when regexp_matches(h, '{Wb.LISTING_WORDS}') or (url is not null and (p = '' or contains('/' || p || '/', '/live/') or (not regexp_matches(p, '[0-9]') and len(string_split(list_last(string_split(p, '/')), '-')) <= 3 and len(string_split(p, '/')) <= 3))) then 'listing' else 'article' end as page_type from f")
 def page_types(spark, d):
     return table(spark, d, "fetched").select("doc_id", Wb.page_type(F.col("headline"), F.col("url")).alias("page_type")).distinct()
 
@@ -454,11 +458,11 @@ def date_intent(spark, d):
     return r6(rank.apply_kal(match.top(rank.bm25(e, i), 10).withColumn("stage", F.lit(0)), q, i.docs), "score")
 
 
-@register("demoted_top10", None)
+@register("demoted_top10", WITH + f", k as (select doc_id, case when regexp_matches({_KEY.format('headline')}, '{Wb.HOROSCOPE_WORDS}') then 1 when regexp_matches(headline, '\\s-\\s[a-z]') then 0 when regexp_matches({_KEY.format('headline')}, '{Wb.LISTING_WORDS}') then 1 else 0 end as low from d), r as (select qid, doc_id, score from bm qualify row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) <= 30), x as (select qid, r.doc_id, low, case when low = 1 then 0.3 * score else score end as score from r join k on k.doc_id = r.doc_id) select qid, doc_id, round(score, 6) as score, row_number() over (partition by qid order by low, round(score, 9) desc, doc_id) as rank from x")
 def demoted_top10(spark, d):
     i, q = idx(spark, d), q_exact(spark)
     kinds = i.docs.select("doc_id", Wb.page_type(F.col("headline"), F.lit(None).cast("string")).alias("page_type"))
-    return r6(rank.demote(match.top(rank.bm25(q, i), 30), kinds), "score")
+    return r6(rank.demote(match.top(rank.bm25(q, i), 30), kinds), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("collapsed_top10", WITH + ", c as (select doc_id, min(doc_id) over (partition by md5(coalesce(text, ''))) as cluster, source from d), r as (select qid, bm.doc_id, cluster, row_number() over (partition by qid order by round(score, 9) desc, bm.doc_id desc) as rank from bm join c on c.doc_id = bm.doc_id qualify rank <= 30), b as (select qid, doc_id, cluster, rank from r qualify row_number() over (partition by qid, cluster order by rank) = 1), o as (select b.qid, b.doc_id, array_to_string(list_sort(list(distinct c.source)), ' ') as also_in from b join c on c.cluster = b.cluster and c.doc_id <> b.doc_id where c.source is not null group by b.qid, b.doc_id) select b.qid, b.doc_id, row_number() over (partition by b.qid order by rank) as rank, coalesce(also_in, '') as also_in from b left join o on o.qid = b.qid and o.doc_id = b.doc_id qualify row_number() over (partition by b.qid order by rank) <= 10")
@@ -489,7 +493,7 @@ def feedback_bm25(spark, d):
     return r6(match.top(rank.bm25(rank.feedback(q, i, rank.bm25(q, i)), i), 10), "score")
 
 
-@register("query_difficulty", None)
+@register("query_difficulty", WITH + ", sp as (select qid, max(i) as specificity from (select qid, idx, min(idf) as i from q join terms on terms.term = q.term group by qid, idx) group by qid), sc as (select q.qid, count(distinct doc_id) / (select n from nn) as scope from q join tf on tf.term = q.term group by q.qid), hd as (select qid, doc_id, score from bm qualify row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) <= 10), sh as (select qid, doc_id, score / sum(score) over (partition by qid) as p from hd), mo as (select qid, tf.term, sum(p * tf / len) as dd from sh join tf on tf.doc_id = sh.doc_id join stats on stats.doc_id = sh.doc_id group by qid, tf.term), co as (select qid, dd, greatest(cf, 1) / (select sum(cf) from terms) as c from mo join terms on terms.term = mo.term), cl as (select qid, sum((0.6 * dd + 0.4 * c) * log2((0.6 * dd + 0.4 * c) / c)) as clarity from co group by qid) select qt.qid, round(coalesce(specificity, 0), 6) as specificity, round(coalesce(scope, 0), 6) as scope, round(coalesce(clarity, 0), 6) as clarity, coalesce(specificity, 0) < 1.0 as low_confidence from qt left join sp on sp.qid = qt.qid left join sc on sc.qid = qt.qid left join cl on cl.qid = qt.qid")
 def query_difficulty(spark, d):
     i, q = idx(spark, d), q_exact(spark)
     return r6(rank.difficulty(q, i, match.top(rank.bm25(q, i), 10)), "specificity", "scope", "clarity")
@@ -639,9 +643,107 @@ def snippets(spark, d):
     return match.top(rank.bm25(q, i), 5).join(i.docs.select("doc_id", "body"), "doc_id").join(F.broadcast(t), "qid").select("qid", "doc_id", X.snippet(F.col("body"), F.col("terms")).alias("snippet"))
 
 
+@register("recency", "select doc_id, round(coalesce(exp(-greatest((epoch_us((select max(published_at) from documents)) - epoch_us(published_at)) / 86400e6, 0) / 7.0), 0), 6) as g from documents")
+def recency(spark, d):
+    x = table(spark, d, "documents")
+    return x.join(F.broadcast(x.agg(F.max("published_at").alias("now")))).select("doc_id", F.round(Wb.recency(F.col("published_at"), F.col("now")), 6).alias("g"))
+
+
+@register("crawl_utility", "select distinct url, headline, section, round(greatest(0.0, least(1.0, 0.5 + case when section in ('national', 'state', 'weather', 'politics') then 0.2 when section in ('lifestyle', 'entertainment') then -0.1 else 0.0 end + case when len(list_filter(string_split_regex(coalesce(headline, ''), " + _WS + "), lambda x: x <> '')) >= 4 then 0.1 else 0.0 end)), 6) as utility from articles")
+def crawl_utility(spark, d):
+    return table(spark, d, "articles").select("url", "headline", "section", F.round(Wb.utility(F.col("headline"), F.col("section")), 6).alias("utility")).distinct()
+
+
+@register("rubric_grades", "with x as (select doc_id, split_part(coalesce(text, ''), chr(10), 1) as h, coalesce(text, '') as t from documents) select doc_id, cast(case when (contains(h, 'पुल') or contains(h, 'bridge')) and (contains(t, 'मरम्मत') or contains(t, 'repair')) then 2 when contains(t, 'पुल') or contains(t, 'bridge') then 1 else 0 end as integer) as grade from x")
+def rubric_grades(spark, d):
+    words = lambda *w: F.array(*map(F.lit, w))
+    return docs(spark, d).select("doc_id", evaluate.rubric_grade(F.col("headline"), F.col("body"), words("पुल", "bridge"), words("मरम्मत", "repair")).cast("int").alias("grade"))
+
+
+@register("result_sets", WITH + ", n as (select qid, count(distinct idx) as n from q group by qid), al as (select q.qid, tf.doc_id from q join tf on q.term = tf.term join n on n.qid = q.qid group by q.qid, tf.doc_id, n.n having count(distinct idx) = n.n), an as (select distinct q.qid, tf.doc_id from q join tf on q.term = tf.term) select 'all' as kind, qid, count(*) as docs from al group by qid union all select 'any', qid, count(*) from an group by qid union all select 'any_not_all', qid, count(*) from (select * from an except select * from al) group by qid")
+def result_sets(spark, d):
+    i, w = idx(spark, d), match.query_words(qs(spark))
+    every, some = match.and_search(i.post, w), match.hits(i.post, w).select("qid", "doc_id").distinct()
+    count = lambda x, kind: x.groupBy("qid").agg(F.count("*").alias("docs")).select(F.lit(kind).alias("kind"), "qid", "docs")
+    return count(every, "all").union(count(some, "any")).union(count(some.exceptAll(every), "any_not_all"))
+
+
+@register("merged_judgments", "select need, doc_id, max(grade) as grade from (select section as need, doc_id, 1 as grade from documents where section is not null and doc_id % 2 = 0 union all select section, doc_id, 2 from documents where section is not null and doc_id % 3 = 0) group by need, doc_id")
+def merged_judgments(spark, d):
+    x = table(spark, d, "documents").where("section is not null")
+    one = lambda m, g: x.where(F.col("doc_id") % m == 0).select(F.col("section").alias("need"), "doc_id", F.lit(g).alias("grade"))  # noqa: E731 - two annotators
+    return evaluate.merge_judgments(one(2, 1), one(3, 2))
+
+
+@register("judging_progress", WITH + ", p as (select distinct qid as need, doc_id from (select qid, doc_id, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from bm) where rank <= 20), j as (select q.qid as need, tok.doc_id from q join tok on q.term = tok.term where zone = 'headline' group by q.qid, tok.doc_id) select p.need, count(j.doc_id) as judged, count(*) as total from p left join j on j.need = p.need and j.doc_id = p.doc_id group by p.need")
+def judging_progress(spark, d):
+    i, q = idx(spark, d), q_exact(spark)
+    done = match.hits(i.post, q.select("qid", "idx", "term"), "headline").select(F.col("qid").alias("need"), "doc_id").distinct()
+    return evaluate.progress(evaluate.pool(match.top(rank.bm25(q, i), 20), 20), done)
+
+
+@register("expanded_bm25", None)
+def expanded_bm25(spark, d):
+    i = idx(spark, d)
+    q = rank.exact_query(spark.createDataFrame([("h1", "nahar safai"), ("h2", "mandi samiti"), ("h3", "canal bridge")], "qid string, query string"))
+    words = q.select(F.col("term").alias("word"), F.lit(0.1).alias("en")).distinct()
+    full = rewrite.index_query(rewrite.expand(q, rewrite.weighted_variants(words, _vocab(spark, d))), "none")
+    return r6(match.top(rank.bm25(full, i), 10), "score")
+
+
+@register("translated_query", None)
+def translated_query(spark, d):
+    q = rank.exact_query(spark.createDataFrame([("t1", "school building in the city"), ("t2", "canal water")], "qid string, query string"))
+    dic = spark.createDataFrame([("school building", "स्कूल", 0.6), ("school building", "भवन", 0.4), ("canal", "नहर", 1.0), ("water", "पानी", 1.0)], "phrase string, term string, weight double")
+    langs = q.select(F.col("term").alias("word")).distinct().withColumn("en", F.lit(0.9))
+    return rewrite.translate(q, dic, langs, ("in", "the"))
+
+
+@register("lsh_candidates", None)
+def lsh_candidates(spark, d):
+    sigs = dedup.signatures(arts(spark, d), "doc_id", "body")
+    return dedup.band_pairs(sigs)
+
+
+@register("corrected_queries", None)
+def corrected_queries(spark, d):
+    n = table(spark, d, "names").select("canonical", F.explode("variants").alias("v"))
+    lattice = n.select(F.lit("n").alias("qid"), (F.dense_rank().over(W.partitionBy(F.lit(1)).orderBy("canonical")) - 1).alias("pos"), F.col("v").alias("term"), (1.0 / F.char_length("v")).alias("weight"))
+    cooc = spark.createDataFrame([], "a string, b string, cooc int")
+    return rewrite.viterbi(lattice, cooc)
+
+
 # ------------------------------------------------------------------ streaming twins on events
 
 
+@register("stream_counts", "select event_type, date_trunc('hour', ts) as hour, count(*) as n from events group by 1, 2")
+def stream_counts(spark, d):
+    """The hourly counts of a stream over the table, run to its end; each trigger overwrites the whole small result."""
+    import uuid
+
+    from siftspark.session import checkpoint_dir
+
+    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(_folder_of(spark, d, "events", root))
+    x = stream.withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour").groupBy("event_type", F.window("t", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n")
+    q = x.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{root}/out")).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+def _folder_of(spark, d: str, name: str, root: str) -> str:
+    """A folder that a file stream may read: the table itself if it is a folder, else a copy."""
+    import os
+
+    path = f"{d}/{name}.parquet"
+    if os.path.isdir(path):
+        return path
+    spark.read.parquet(path).write.parquet(f"{root}/{name}")
+    return f"{root}/{name}"
+
+
+
 @register("burst_score", "with x as (select event_id, event_type as category, ts, count(*) over (partition by event_type order by ts range between interval 1 hour preceding and current row) as c1, count(*) over (partition by event_type order by ts range between interval 6 hour preceding and current row) as c6 from events where event_type is not null and event_type <> 'general') select event_id, c1, c6, round(c1 / (c6 / 6 + 1), 6) as score, case when c1 / (c6 / 6 + 1) > 2 then 'Q0' else 'Q1' end as tier from x")
 def burst_score(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("event_type").alias("category"), "ts")
