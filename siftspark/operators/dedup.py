@@ -11,18 +11,25 @@ from siftspark.operators.graph import connected_components
 from siftspark.session import cut
 
 
+def hashed_shingles(text: Column, n: int = 4) -> Column:
+    """Distinct n-word shingles as sorted 64-bit hashes, a fifth of their letters in size."""
+    return F.array_sort(F.transform(X.shingles(text, n), lambda x: F.xxhash64(x)))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body", n: int = 4) -> DataFrame:
-    """(cls, shingles, sig): one row per distinct non-empty shingle set of the table; cls is its hash.
+    """(cls, shingles, sig): one row per distinct non-empty shingle set of the table (as 64-bit hashes); cls is its hash.
 
     Signatures are minima over exploded shingles, so the hash functions run in
     generated code and are aggregated within each task.
     """
-    s = docs.select(X.shingles(F.col(text_col), n).alias("shingles")).where(F.size("shingles") > 0)
-    s = cut(s.withColumn("cls", F.xxhash64(F.array_sort("shingles"))).dropDuplicates(["cls"]))
-    h = s.select("cls", F.explode("shingles").alias("x")).select("cls", F.crc32(F.col("x").cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF)).alias("h"))
+    words = docs.select(X.shingles(F.col(text_col), n).alias("w")).where(F.size("w") > 0)
+    crc = F.transform("w", lambda x: F.crc32(x.cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    s = words.select(F.array_sort(F.transform("w", lambda x: F.xxhash64(x))).alias("shingles"), crc.alias("h"))
+    s = cut(s.withColumn("cls", F.xxhash64("shingles")).dropDuplicates(["cls"]))
+    h = s.select("cls", F.explode("h").alias("h")).withColumn("h", F.col("h").cast("long"))
     mins = [F.min((F.col("h") * F.lit(a) + F.lit(b)) % F.lit(2147483647)).alias(f"m{i}") for i, (a, b) in enumerate(X.minhash_coefficients())]
     sig = h.groupBy("cls").agg(*mins).select("cls", F.array(*[f"m{i}" for i in range(len(mins))]).alias("sig"))
-    return s.join(sig, "cls")
+    return s.select("cls", "shingles").join(sig, "cls")
 
 
 def band_pairs(sigs: DataFrame, bands: int = 16, rows: int = 4) -> DataFrame:
@@ -65,7 +72,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "bo
         e = sigs.select("cls", F.explode("shingles").alias("s")).select("cls", F.xxhash64("s").alias("s"))
         cand = e.alias("a").join(e.alias("b"), (F.col("a.s") == F.col("b.s")) & (F.col("a.cls") < F.col("b.cls"))).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
     links = verified_pairs(sigs, cand, threshold)
-    m = d.select("id", "at", X.shingles(F.col("text")).alias("s")).where(F.size("s") > 0).select("id", "at", F.xxhash64(F.array_sort("s")).alias("cls"))
+    m = cut(d.select("id", "at", hashed_shingles(F.col("text")).alias("s")).where(F.size("s") > 0).select("id", "at", F.xxhash64("s").alias("cls")))
     ma, mb = m.select(F.col("id").alias("ia"), F.col("at").alias("ta"), F.col("cls").alias("a")), m.select(F.col("id").alias("ib"), F.col("at").alias("tb"), F.col("cls").alias("b"))
     across = links.join(ma, "a").join(mb, "b")
     several = m.groupBy("cls").agg(F.countDistinct("id").alias("c")).where("c > 1").select(F.col("cls").alias("a"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as X
+from siftspark.session import cut
 
 ZONES = ("headline", "body")
 
@@ -82,12 +83,17 @@ class Index:
         return Index(mode, read("docs"), read("post"), read("terms"), read("stats"), read("n"))
 
 
-def build(docs: DataFrame, mode: str = "none", auto: Column | None = None, order: str | None = None, compose: bool = True) -> Index:
-    """Index of ``docs`` (doc_id, headline, body, ...); the first row of a repeated id wins."""
+def build(docs: DataFrame, mode: str = "none", auto: Column | None = None, order: str | None = None, compose: bool = True, keep: bool = False) -> Index:
+    """Index of ``docs`` (doc_id, headline, body, ...); the first row of a repeated id wins.
+
+    With ``keep`` the postings are written once to the shared folder, so that
+    texts are not read again for every use of the index.
+    """
     if mode not in X.MODES:
         raise ValueError(f"unknown mode {mode!r}; one of {', '.join(X.MODES)}")
     docs = first_of_each(docs, order=order)
     post = postings(tokens(docs, mode, auto, compose))
+    post = cut(post) if keep else post
     n = docs.agg(F.count("*").alias("n"))
     return Index(mode, docs, post, term_stats(post, n), doc_stats(post), n)
 

@@ -37,8 +37,8 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return index.as_articles(table(spark, d, "documents")).select("doc_id", "headline", "body", F.col("published_at").alias("date"), "source", "section", "lang", "text")
 
 
-def idx(spark: SparkSession, d: str, mode: str = "none") -> index.Index:
-    return index.build(docs(spark, d), mode)
+def idx(spark: SparkSession, d: str, mode: str = "none", keep: bool = False) -> index.Index:
+    return index.build(docs(spark, d), mode, keep=keep)
 
 
 def qs(spark: SparkSession) -> DataFrame:
@@ -256,22 +256,22 @@ def distinct_values(spark, d):
 
 @register("bm25_top10", WITH + _TOP.format("bm"))
 def bm25_top10(spark, d):
-    return r6(match.top(rank.bm25(q_exact(spark), idx(spark, d)), 10), "score").withColumn("rank", F.col("rank").cast("long"))
+    return r6(match.top(rank.bm25(q_exact(spark), idx(spark, d, keep=True)), 10), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("bm25_headline_boost", WITH + ", hb as (select term, doc_id, sum(case when zone = 'headline' then 3.0 else 1.0 end) as tf from tok group by term, doc_id), b3 as (select qid, hb.doc_id, sum(qtf * ln(1 + ((select n from nn) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (select a from avgdl)))) as score from qtf join terms on terms.term = qtf.term join hb on hb.term = qtf.term join stats on stats.doc_id = hb.doc_id group by qid, hb.doc_id) " + _TOP.format("b3"))
 def bm25_headline_boost(spark, d):
-    return r6(match.top(rank.bm25(q_exact(spark), idx(spark, d), headline_boost=3.0), 10), "score").withColumn("rank", F.col("rank").cast("long"))
+    return r6(match.top(rank.bm25(q_exact(spark), idx(spark, d, keep=True), headline_boost=3.0), 10), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("lnc_ltc_top10", WITH + _TOP.format("lnc"))
 def lnc_ltc_top10(spark, d):
-    return r6(match.top(rank.cosine(q_exact(spark), idx(spark, d)), 10), "score").withColumn("rank", F.col("rank").cast("long"))
+    return r6(match.top(rank.cosine(q_exact(spark), idx(spark, d, keep=True)), 10), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("lnc_lnc_top10", WITH + ", u0 as (select qid, qtf.term, 1 + log10(qtf) as w from qtf join terms on qtf.term = terms.term), u as (select qid, term, w / sqrt(sum(w * w) over (partition by qid)) as w from u0), l2 as (select qid, tf.doc_id, sum(w * (1 + log10(tf))) / any_value(norm) as score from u join tf on u.term = tf.term join stats on stats.doc_id = tf.doc_id group by qid, tf.doc_id) " + _TOP.format("l2"))
 def lnc_lnc_top10(spark, d):
-    return r6(match.top(rank.cosine(q_exact(spark), idx(spark, d), idf=False), 10), "score").withColumn("rank", F.col("rank").cast("long"))
+    return r6(match.top(rank.cosine(q_exact(spark), idx(spark, d, keep=True), idf=False), 10), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 _NET = (
@@ -287,12 +287,12 @@ _NET = (
 
 @register("net_score_top10", _NET + _TOP.format("net"))
 def net_score_top10(spark, d):
-    return r6(match.top(rank.net_score(q_exact(spark), idx(spark, d)).select("qid", "doc_id", "score"), 10), "score").withColumn("rank", F.col("rank").cast("long"))
+    return r6(match.top(rank.net_score(q_exact(spark), idx(spark, d, keep=True)).select("qid", "doc_id", "score"), 10), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("rrf_top10", _NET + ", r as (select qid, doc_id, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from lnc qualify rank <= 50 union all select qid, doc_id, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from bm qualify rank <= 50 union all select qid, doc_id, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from net qualify rank <= 50), f as (select qid, doc_id, round(sum(1.0 / (60 + rank)), 12) as score from r group by qid, doc_id) select qid, doc_id, round(score, 6) as score, row_number() over (partition by qid order by round(score, 9) desc, doc_id) as rank from f qualify rank <= 10")
 def rrf_top10(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     runs = [rank.cosine(q, i), rank.bm25(q, i), rank.net_score(q, i).select("qid", "doc_id", "score")]
     return r6(rank.rrf(runs, 10), "score").withColumn("rank", F.col("rank").cast("long"))
 
@@ -310,7 +310,7 @@ _CASCADE = (
 
 @register("cascade_top10", _CASCADE)
 def cascade_top10(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     return r6(rank.cascade(q, i, rank.bm25(q, i), 10), "score").select("qid", "doc_id", "stage", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -320,40 +320,40 @@ _W = WITH + ", tw as (select tf.term, tf.doc_id, (1 + log10(tf)) / norm as w fro
 
 @register("champion_lists", _W + "select term, doc_id, round(w, 6) as w from (select *, row_number() over (partition by term order by round(w, 9) desc, doc_id desc) as r from tw) where r <= 10")
 def champion_lists(spark, d):
-    return r6(speedups.champions(idx(spark, d), 10), "w")
+    return r6(speedups.champions(idx(spark, d, keep=True), 10), "w")
 
 
 @register("champion_search", _W + ", ch as (select term, doc_id from (select *, row_number() over (partition by term order by round(w, 9) desc, doc_id desc) as r from tw) where r <= 10), ca as (select distinct qid, doc_id from ch join qv on qv.term = ch.term), few as (select qid from (select distinct qid from qv) x where (select count(*) from ca where ca.qid = x.qid) < 10), ft as (select qv.qid, tw.doc_id, sum(qv.w * tw.w) as score from qv join tw on qv.term = tw.term group by qv.qid, tw.doc_id), k as (select ft.* from ft where qid in (select qid from few) or exists (select 1 from ca where ca.qid = ft.qid and ca.doc_id = ft.doc_id)) " + _TOP.format("k"))
 def champion_search(spark, d):
-    i = idx(spark, d)
+    i = idx(spark, d, keep=True)
     return r6(speedups.champion_search(q_exact(spark), i, speedups.champions(i, 10)), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("impact_search", _W + ", o as (select *, row_number() over (partition by term order by round(w, 9) desc, doc_id) as r, max(w) over (partition by term) as top_w from tw), k as (select qv.qid, o.doc_id, sum(qv.w * o.w) as score from qv join o on qv.term = o.term where r <= 50 and o.w >= 0.5 * top_w group by qv.qid, o.doc_id) " + _TOP.format("k"))
 def impact_search(spark, d):
-    i = idx(spark, d)
+    i = idx(spark, d, keep=True)
     return r6(speedups.impact_search(q_exact(spark), i, speedups.impact_postings(i), 10, 50, 0.5), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("tier_search", _W + ", mx as (select max(date) as now from d), ti as (select doc_id, case when date is null then 3 when (epoch_us((select now from mx)) - epoch_us(date)) / 86400e6 <= 2 then 1 when (epoch_us((select now from mx)) - epoch_us(date)) / 86400e6 <= 7 then 2 else 3 end as tier from d), x as (select qv.qid, tw.doc_id, tier, sum(qv.w * tw.w) as score from qv join tw on qv.term = tw.term join ti on ti.doc_id = tw.doc_id group by qv.qid, tw.doc_id, tier), c as (select qid, tier, count(*) as c from x group by qid, tier), o as (select qid, tier, coalesce(sum(c) over (partition by qid order by tier rows between unbounded preceding and 1 preceding), 0) as before from c), k as (select x.* from x join o on x.qid = o.qid and x.tier = o.tier where before < 10) " + _TOP.format("k"))
 def tier_search(spark, d):
-    return r6(speedups.tier_search(q_exact(spark), idx(spark, d)), "score").withColumn("rank", F.col("rank").cast("long"))
+    return r6(speedups.tier_search(q_exact(spark), idx(spark, d, keep=True)), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("index_elimination", _W + ", vi as (select qv.qid, qv.term, qv.w, idf, row_number() over (partition by qid order by idf desc, qv.term) as r, sum(case when idf >= 0.3 then 1 else 0 end) over (partition by qid) as good from qv join terms on terms.term = qv.term), v as (select * from vi where idf >= 0.3 or (good = 0 and r = 1)), ne as (select qid, case when count(*) >= 3 then cast(ceil(0.75 * count(*)) as bigint) else 1 end as need from v group by qid), x as (select v.qid, tw.doc_id, sum(v.w * tw.w) as score, count(*) as m from v join tw on v.term = tw.term group by v.qid, tw.doc_id), h as (select a.qid, lv.m as lv, count(*) as have from (select distinct qid, m from x) lv join x a on a.qid = lv.qid and a.m >= lv.m group by a.qid, lv.m), le as (select ne.qid, case when (select count(*) from x where x.qid = ne.qid and x.m >= ne.need) >= 10 then ne.need else coalesce((select max(lv) from h where h.qid = ne.qid and h.have >= 10 and h.lv <= ne.need), 1) end as least from ne), k as (select x.qid, x.doc_id, x.score from x join le on x.qid = le.qid where x.m >= le.least) " + _TOP.format("k"))
 def index_elimination(spark, d):
-    return r6(speedups.index_elimination(q_exact(spark), idx(spark, d)), "score").withColumn("rank", F.col("rank").cast("long"))
+    return r6(speedups.index_elimination(q_exact(spark), idx(spark, d, keep=True)), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("cluster_search", None)
 def cluster_search(spark, d):
-    i = idx(spark, d)
+    i = idx(spark, d, keep=True)
     return r6(speedups.cluster_search(q_exact(spark), i, speedups.assign(i, speedups.leaders(i)), 10, 3), "score")
 
 
 @register("speedup_report", None)
 def speedup_report(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     exact = match.top(rank.cosine(q, i), 10)
     return speedups.speedup_report(exact, {"elimination": speedups.index_elimination(q, i), "champions": speedups.champion_search(q, i, speedups.champions(i, 50)), "tiers": speedups.tier_search(q, i), "impact": speedups.impact_search(q, i, speedups.impact_postings(i))})
 
@@ -452,7 +452,7 @@ def agency_stories(spark, d):
 
 @register("date_intent", None)
 def date_intent(spark, d):
-    i = idx(spark, d)
+    i = idx(spark, d, keep=True)
     q = spark.createDataFrame([("k1", "kal barish hogi"), ("k2", "कल का नतीजा"), ("k3", "bus stand yesterday"), ("k4", "canal cleaning")], "qid string, query string")
     e = rank.exact_query(q)
     return r6(rank.apply_kal(match.top(rank.bm25(e, i), 10).withColumn("stage", F.lit(0)), q, i.docs), "score")
@@ -460,14 +460,14 @@ def date_intent(spark, d):
 
 @register("demoted_top10", WITH + f", k as (select doc_id, case when regexp_matches({_KEY.format('headline')}, '{Wb.HOROSCOPE_WORDS}') then 1 when regexp_matches(headline, '\\s-\\s[a-z]') then 0 when regexp_matches({_KEY.format('headline')}, '{Wb.LISTING_WORDS}') then 1 else 0 end as low from d), r as (select qid, doc_id, score from bm qualify row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) <= 30), x as (select qid, r.doc_id, low, case when low = 1 then 0.3 * score else score end as score from r join k on k.doc_id = r.doc_id) select qid, doc_id, round(score, 6) as score, row_number() over (partition by qid order by low, round(score, 9) desc, doc_id) as rank from x")
 def demoted_top10(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     kinds = i.docs.select("doc_id", Wb.page_type(F.col("headline"), F.lit(None).cast("string")).alias("page_type"))
     return r6(rank.demote(match.top(rank.bm25(q, i), 30), kinds), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("collapsed_top10", WITH + ", c as (select doc_id, min(doc_id) over (partition by md5(coalesce(text, ''))) as cluster, source from d), r as (select qid, bm.doc_id, cluster, row_number() over (partition by qid order by round(score, 9) desc, bm.doc_id desc) as rank from bm join c on c.doc_id = bm.doc_id qualify rank <= 30), b as (select qid, doc_id, cluster, rank from r qualify row_number() over (partition by qid, cluster order by rank) = 1), o as (select b.qid, b.doc_id, array_to_string(list_sort(list(distinct c.source)), ' ') as also_in from b join c on c.cluster = b.cluster and c.doc_id <> b.doc_id where c.source is not null group by b.qid, b.doc_id) select b.qid, b.doc_id, row_number() over (partition by b.qid order by rank) as rank, coalesce(also_in, '') as also_in from b left join o on o.qid = b.qid and o.doc_id = b.doc_id qualify row_number() over (partition by b.qid order by rank) <= 10")
 def collapsed_top10(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     h = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     c = i.docs.join(i.docs.groupBy(h.alias("h")).agg(F.min("doc_id").alias("cluster")), F.col("h") == h).select("doc_id", "cluster", "source")
     x = rank.collapse(match.top(rank.bm25(q, i), 30), c, 10)
@@ -476,26 +476,26 @@ def collapsed_top10(spark, d):
 
 @register("diversified_top5", None)
 def diversified_top5(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     return r6(rank.mmr(match.top(rank.bm25(q, i), 30), i.post, k=5), "score")
 
 
 @register("rocchio_terms", None)
 def rocchio_terms(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     rel = match.top(rank.bm25(q, i), 5).select("qid", "doc_id")
     return r6(rank.rocchio(q, rel, None, i), "w").select("qid", "term", "w", "rank")
 
 
 @register("feedback_bm25", None)
 def feedback_bm25(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     return r6(match.top(rank.bm25(rank.feedback(q, i, rank.bm25(q, i)), i), 10), "score")
 
 
 @register("query_difficulty", WITH + ", sp as (select qid, max(i) as specificity from (select qid, idx, min(idf) as i from q join terms on terms.term = q.term group by qid, idx) group by qid), sc as (select q.qid, count(distinct doc_id) / (select n from nn) as scope from q join tf on tf.term = q.term group by q.qid), hd as (select qid, doc_id, score from bm qualify row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) <= 10), sh as (select qid, doc_id, score / sum(score) over (partition by qid) as p from hd), mo as (select qid, tf.term, sum(p * tf / len) as dd from sh join tf on tf.doc_id = sh.doc_id join stats on stats.doc_id = sh.doc_id group by qid, tf.term), co as (select qid, dd, greatest(cf, 1) / (select sum(cf) from terms) as c from mo join terms on terms.term = mo.term), cl as (select qid, sum((0.6 * dd + 0.4 * c) * log2((0.6 * dd + 0.4 * c) / c)) as clarity from co group by qid) select qt.qid, round(coalesce(specificity, 0), 6) as specificity, round(coalesce(scope, 0), 6) as scope, round(coalesce(clarity, 0), 6) as clarity, coalesce(specificity, 0) < 1.0 as low_confidence from qt left join sp on sp.qid = qt.qid left join sc on sc.qid = qt.qid left join cl on cl.qid = qt.qid")
 def query_difficulty(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     return r6(rank.difficulty(q, i, match.top(rank.bm25(q, i), 10)), "specificity", "scope", "clarity")
 
 
@@ -517,7 +517,7 @@ def _qrels(i: index.Index, q: DataFrame) -> DataFrame:
 
 
 def _run(spark, d, k: int = 30):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     return match.top(rank.bm25(q, i), k).select("qid", "doc_id", "rank"), _qrels(i, q)
 
 
@@ -541,7 +541,7 @@ def interp11(spark, d):
 
 @register("pool_topk", WITH + "select distinct qid as need, doc_id from (select qid, doc_id, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from bm union all select qid, doc_id, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from lnc) where rank <= 10")
 def pool_topk(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     runs = match.top(rank.bm25(q, i), 10).select("qid", "doc_id", "rank").union(match.top(rank.cosine(q, i), 10).select("qid", "doc_id", "rank"))
     return evaluate.pool(runs, 10)
 
@@ -551,14 +551,14 @@ _TWO = ", ra as (select qid, doc_id, row_number() over (partition by qid order b
 
 @register("kendall_overlap", WITH + _TWO + ", t as (select x.qid, sum(sign(y.a - x.a) * sign(y.b - x.b)) / count(*) as tau from sh x join sh y on x.qid = y.qid and x.a < y.a group by x.qid), o as (select qid, count(*) as c from sh group by qid) select qq.qid, round(t.tau, 6) as tau, round(coalesce(o.c, 0) / 10, 6) as overlap from qq left join t on t.qid = qq.qid left join o on o.qid = qq.qid")
 def kendall_overlap(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     a, b = match.top(rank.bm25(q, i), 10), match.top(rank.cosine(q, i), 10)
     return r6(evaluate.kendall(a, b).join(evaluate.overlap(a, b), "qid"), "tau", "overlap")
 
 
 @register("paired_t", None)
 def paired_t(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     rel = _qrels(i, q)
     one = lambda s, n: evaluate.per_query(match.top(s, 30).select("qid", "doc_id", "rank"), rel).select("qid", F.col("ap").alias(n))
     return r6(evaluate.paired_t(one(rank.bm25(q, i), "a").join(one(rank.cosine(q, i, idf=False), "b"), "qid")), "mean_diff", "t", "p")
@@ -566,7 +566,7 @@ def paired_t(spark, d):
 
 @register("randomization_test", None)
 def randomization_test(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     rel = _qrels(i, q)
     one = lambda s, n: evaluate.per_query(match.top(s, 30).select("qid", "doc_id", "rank"), rel).select("qid", F.col("ap").alias(n))
     return r6(evaluate.randomization(one(rank.bm25(q, i), "a").join(one(rank.cosine(q, i, idf=False), "b"), "qid"), 2000), "mean_diff", "p")
@@ -574,7 +574,7 @@ def randomization_test(spark, d):
 
 @register("learned_ranking", None)
 def learned_ranking(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     rows = match.top(rank.bm25(q, i), 30).select("qid", "doc_id", F.col("score").alias("bm25")).join(rank.cosine(q, i).withColumnRenamed("score", "cosine"), ["qid", "doc_id"], "left").na.fill(0.0).join(_qrels(i, q), ["qid", "doc_id"], "left").withColumn("need", F.col("qid"))
     return r6(evaluate.learn_to_rank(rows, ["bm25", "cosine"], steps=300), "score")
 
@@ -583,12 +583,12 @@ def learned_ranking(spark, d):
 
 
 def _vocab(spark, d) -> DataFrame:
-    return rewrite.vocabulary(idx(spark, d).terms.select("term", "df").where(~F.col("term").rlike(r"\d")))
+    return rewrite.vocabulary(idx(spark, d, keep=True).terms.select("term", "df").where(~F.col("term").rlike(r"\d")))
 
 
 @register("kgram_candidates", WITH + r", tm as (select term, concat('$', term, '$') as s from terms where regexp_matches(term, '^[a-z]+$')), g as (select distinct term, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) as gram from tm), n as (select term, count(*) as n from g group by term), wd as (select unnest(['nahr', 'safaii', 'aspatl', 'bussstand', 'kheton']) as word), ws as (select word, concat('$', word, '$') as s from wd), wg as (select distinct word, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) as gram from ws), wn as (select word, count(*) as n from wg group by word), c as (select wg.word, g.term, count(*) as c from wg join g on g.gram = wg.gram group by wg.word, g.term qualify row_number() over (partition by wg.word order by count(*) desc, g.term) <= 250), j as (select c.word, c.term, c.c / (wn.n + n.n - c.c) as jaccard from c join n on n.term = c.term join wn on wn.word = c.word) select word, term, round(jaccard, 6) as jaccard, row_number() over (partition by word order by jaccard desc, term) as rank from j qualify rank <= 50")
 def kgram_candidates(spark, d):
-    v = idx(spark, d).terms.where(F.col("term").rlike("^[a-z]+$")).select("term", X.kgrams(F.col("term")).alias("grams"))
+    v = idx(spark, d, keep=True).terms.where(F.col("term").rlike("^[a-z]+$")).select("term", X.kgrams(F.col("term")).alias("grams"))
     w = spark.createDataFrame([(x,) for x in ("nahr", "safaii", "aspatl", "bussstand", "kheton")], "word string").withColumn("grams", X.kgrams(F.col("word")))
     return r6(rewrite.kgram_candidates(w, v), "jaccard").withColumn("rank", F.col("rank").cast("long"))
 
@@ -638,7 +638,7 @@ def auto_stems(spark, d):
 
 @register("snippets", None)
 def snippets(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     t = q.groupBy("qid").agg(F.collect_set("term").alias("terms"))
     return match.top(rank.bm25(q, i), 5).join(i.docs.select("doc_id", "body"), "doc_id").join(F.broadcast(t), "qid").select("qid", "doc_id", X.snippet(F.col("body"), F.col("terms")).alias("snippet"))
 
@@ -662,7 +662,7 @@ def rubric_grades(spark, d):
 
 @register("result_sets", WITH + ", n as (select qid, count(distinct idx) as n from q group by qid), al as (select q.qid, tf.doc_id from q join tf on q.term = tf.term join n on n.qid = q.qid group by q.qid, tf.doc_id, n.n having count(distinct idx) = n.n), an as (select distinct q.qid, tf.doc_id from q join tf on q.term = tf.term) select 'all' as kind, qid, count(*) as docs from al group by qid union all select 'any', qid, count(*) from an group by qid union all select 'any_not_all', qid, count(*) from (select * from an except select * from al) group by qid")
 def result_sets(spark, d):
-    i, w = idx(spark, d), match.query_words(qs(spark))
+    i, w = idx(spark, d, keep=True), match.query_words(qs(spark))
     every, some = match.and_search(i.post, w), match.hits(i.post, w).select("qid", "doc_id").distinct()
     count = lambda x, kind: x.groupBy("qid").agg(F.count("*").alias("docs")).select(F.lit(kind).alias("kind"), "qid", "docs")
     return count(every, "all").union(count(some, "any")).union(count(some.exceptAll(every), "any_not_all"))
@@ -677,14 +677,14 @@ def merged_judgments(spark, d):
 
 @register("judging_progress", WITH + ", p as (select distinct qid as need, doc_id from (select qid, doc_id, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from bm) where rank <= 20), j as (select q.qid as need, tok.doc_id from q join tok on q.term = tok.term where zone = 'headline' group by q.qid, tok.doc_id) select p.need, count(j.doc_id) as judged, count(*) as total from p left join j on j.need = p.need and j.doc_id = p.doc_id group by p.need")
 def judging_progress(spark, d):
-    i, q = idx(spark, d), q_exact(spark)
+    i, q = idx(spark, d, keep=True), q_exact(spark)
     done = match.hits(i.post, q.select("qid", "idx", "term"), "headline").select(F.col("qid").alias("need"), "doc_id").distinct()
     return evaluate.progress(evaluate.pool(match.top(rank.bm25(q, i), 20), 20), done)
 
 
 @register("expanded_bm25", None)
 def expanded_bm25(spark, d):
-    i = idx(spark, d)
+    i = idx(spark, d, keep=True)
     q = rank.exact_query(spark.createDataFrame([("h1", "nahar safai"), ("h2", "mandi samiti"), ("h3", "canal bridge")], "qid string, query string"))
     words = q.select(F.col("term").alias("word"), F.lit(0.1).alias("en")).distinct()
     full = rewrite.index_query(rewrite.expand(q, rewrite.weighted_variants(words, _vocab(spark, d))), "none")

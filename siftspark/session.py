@@ -30,9 +30,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def estimate(df: DataFrame) -> int:
+    """Catalyst's size estimate in bytes; of a plain scan the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, least: int = 400_000, most: int = 64 << 20) -> DataFrame:
+    """A table of a few small files over all cores; a row group is read by one task, however many cores are idle.
+
+    Only tables of ``least`` to ``most`` bytes in fewer files than half the
+    cores are shuffled once; larger ones come in enough parts by themselves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if least < estimate(df) < most and 2 * len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def is_small(df: DataFrame, limit: int = 8 << 20) -> bool:
@@ -41,7 +58,7 @@ def is_small(df: DataFrame, limit: int = 8 << 20) -> bool:
     File sizes are known before anything runs, so this costs no job; estimates
     of joins grow multiplicatively, i.e. it errs towards ``False``.
     """
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+    return estimate(df) <= limit
 
 
 def ship(spark: SparkSession) -> None:
