@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.llm import neardup, text
-from siftspark.session import checkpoint_dir
+from siftspark.session import checkpoint_dir, cut
 
 #: Lowest share of the smaller text's bytes that a pair must have in common rare chunks (pairs of similarity 0.7 were measured at 0.22 and more).
 COVERAGE = 0.1
@@ -147,3 +147,53 @@ def seen_before(history: DataFrame, batches: DataFrame, text_col: str, order: li
     near = near.join(first.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.min("first").alias("near"))
     found = rows.where("at >= 0").join(first, "cls").join(near, "cls", "left").where("first < at or near < at").select("at").distinct()
     return found.select(F.shiftright("at", 32).cast("int").alias(b), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias(s))
+
+
+def all_chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, cls, bytes, total): every chunk of each distinct text of ``docs`` (text)."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for _, w, v, o, cls in neardup.sets_of(batch, "text", 4):
+                new = neardup.unseen(cls, w.per_doc > 0, seen)
+                h, size, d = w.chunks(RADIUS)
+                total = np.bincount(d, weights=size, minlength=len(cls)).astype(np.int64)
+                ok = new[d]
+                h, size, d = h[ok], size[ok], d[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls[d].view(np.int64)), pa.array(size.astype(np.int32)), pa.array(total[d].astype(np.int32))], ["chunk", "cls", "bytes", "total"])
+
+    return docs.select("text").mapInArrow(run, "chunk long, cls long, bytes int, total int")
+
+
+def accept_batch(table: ChunkTable, batch: DataFrame, id_col: str, text_col: str, generation: int, covered: float = 0.8) -> DataFrame:
+    """(id, share, accepted) for one batch, judged by the chunk table alone; appends the chunks of what is accepted.
+
+    share: bytes of a text in chunks that the table knows. A text is accepted if
+    that is less than ``covered``; of equal texts within the batch the smallest
+    id only. Null and wordless texts have share 0 and are not accepted. The
+    table is joined by distinct chunks, so a chunk of a third of all records
+    costs one row. No text of the history is read.
+    """
+    docs = batch.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    some = docs.where("id is not null and text is not null")
+
+    def member(batches):
+        for b in batches:
+            ids = b.column("id")
+            for at, w, _, _, cls in neardup.sets_of(b, "text", 4):
+                keep = np.flatnonzero(w.per_doc > 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep + at)), pa.array(cls[keep].view(np.int64))], ["id", "cls"])
+
+    rows = cut(some.mapInArrow(member, f"id {dict(docs.dtypes)['id']}, cls long").distinct())
+    fresh = cut(all_chunks(some).groupBy("chunk", "cls").agg(F.sum("bytes").alias("bytes"), F.max("total").alias("total")))
+    if generation > 0:
+        known = fresh.join(table.read().select("chunk").distinct(), "chunk", "left_semi").groupBy("cls").agg(F.sum("bytes").alias("known"))
+    else:
+        known = fresh.limit(0).groupBy("cls").agg(F.sum("bytes").alias("known"))
+    share = fresh.groupBy("cls").agg(F.max("total").alias("total")).join(known, "cls", "left").select("cls", (F.coalesce("known", F.lit(0)) / F.col("total")).alias("share"))
+    share = cut(share)
+    table.append(fresh.join(share.where(F.col("share") < covered).select("cls"), "cls", "left_semi"), generation)
+    first = rows.groupBy("cls").agg(F.min("id").alias("first"))
+    judged = rows.join(share, "cls").join(first, "cls").select("id", "share", ((F.col("share") < covered) & (F.col("id") == F.col("first"))).alias("accepted"))
+    return docs.select("id").distinct().join(judged, "id", "left").select(F.col("id").alias(id_col), F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("accepted", F.lit(False)).alias("accepted"))

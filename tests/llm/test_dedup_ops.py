@@ -142,3 +142,17 @@ def test_truth_follows_reliable_sources(spark):
     c = spark.createDataFrame(rows, "group_id string, field string, doc_id string, value string, source string, at long")
     got = {r.group_id: r.value for r in survivor.truth(c).collect()}
     assert got["gx"] == "yes" and all(got[f"g{i}"] == f"right{i}" for i in range(12))
+
+
+def test_batches_are_accepted_by_coverage(spark, tmp_path):
+    table = history.ChunkTable(spark, str(tmp_path / "chunks"))
+    r = random.Random(3)
+    text = lambda n: " ".join(f"w{r.randint(0, 9999)}" for _ in range(n))
+    a, b, c = text(80), text(80), text(80)
+    one = lambda rows: spark.createDataFrame(rows, "doc_id string, body string")
+    got = {x.doc_id: x.accepted for x in history.accept_batch(table, one([("a", a), ("a2", a), ("n", None), ("e", "")]), "doc_id", "body", 0).collect()}
+    assert got == {"a": True, "a2": False, "n": False, "e": False}
+    got = {x.doc_id: x.accepted for x in history.accept_batch(table, one([("b", b), ("d", a + " tail")]), "doc_id", "body", 1).collect()}
+    assert got == {"b": True, "d": False}
+    got = {x.doc_id: x.accepted for x in history.accept_batch(table, one([("f", b), ("g", c), ("h", c + " " + text(80))]), "doc_id", "body", 2).collect()}
+    assert got == {"f": False, "g": True, "h": True}
