@@ -1,11 +1,11 @@
 """Problem 7: deduplicating new batches against all history.
 
-Texts are cut into content-defined chunks (rolling hash over words); a
-persistent chunk-to-record table is kept as parquet, partitioned by delivery
-generation. A batch is joined with the table on chunk hashes, the shared bytes
-of each pair of records are totalled, pairs below the coverage bound are
-dropped, the rest are decided on their shingle sets. The history's texts are
-never read again to find candidates: only its chunk rows are.
+``seen_before`` is exact: the prefix shingles of every set (see ``neardup``)
+are kept as parquet, partitioned by delivery generation; a batch is joined with
+them, and the pairs that pass the filters, which no pair of the wanted
+similarity fails, are decided on their full sets. ``accept_batch`` works by
+coverage: texts are cut into content-defined chunks (rolling hash over words),
+and a batch is judged by the persistent chunk table alone.
 """
 
 from __future__ import annotations
@@ -17,81 +17,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm import neardup, text
+from siftspark.llm import neardup
 from siftspark.session import checkpoint_dir, cut
 
-#: Lowest share of the smaller text's bytes that a pair must have in common rare chunks (pairs of similarity 0.7 were measured at 0.22 and more).
-COVERAGE = 0.1
-#: Share of a text's bytes held by its most frequent chunks, which make no candidates.
-FREQUENT = 0.3
 #: Words on both sides among which a chunk's last word has the smallest rolling hash; chunks have about 2 * RADIUS + 1 words.
 RADIUS = 3
-#: Texts of fewer words also give all their shingles as chunks, for a chunk may be as long as they are.
-SHORT = 64
 
 
-def chunk_rows(docs: DataFrame, k: int, t: float, sketch) -> DataFrame:
-    """(chunk, cls, bytes, total, n, rare) of each distinct text of ``docs`` (text).
-
-    rare: the chunk is among the rarest ones that together hold all but
-    FREQUENT of the text's bytes (chunks), or among the prefix of the set
-    (shingles of short texts).
-    """
+def prefix_rows(docs: DataFrame, k: int, t: float, sketch) -> DataFrame:
+    """(tok, cls, n, p, q) of each distinct text of ``docs`` (text): the shingles in the prefix of its set under either global order, and their ranks."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for _, w, v, o, cls in neardup.sets_of(batch, "text", k):
                 new = neardup.unseen(cls, w.per_doc > 0, seen)
-                if not new.any():
-                    continue
-                h, size, d = w.chunks(RADIUS)
-                total = np.bincount(d, weights=size, minlength=len(cls)).astype(np.int64)
-                order = np.lexsort((text.mix(h, 41), neardup.count_of(sketch.value, h), d))
-                h, size, d = h[order], size[order], d[order]
-                before = np.cumsum(size) - size
-                first = np.searchsorted(d, np.arange(len(cls)))
-                rare = before - before[np.minimum(first[d], len(before) - 1)] <= (1 - FREQUENT) * total[d] + 1
-                i, sd, p, _, _ = neardup.prefixes(v, o, sketch.value, t)
-                i, sd = i[p >= 0], sd[p >= 0]
-                short = w.per_doc[sd] < SHORT
-                i, sd = i[short], sd[short]
-                ok, ok2 = new[d], new[sd]
-                h, size, d, rare, sh, sd = h[ok], size[ok], d[ok], rare[ok], v[i][ok2], sd[ok2]
-                rare &= neardup.count_of(sketch.value, h) > 1
-                # a repeated chunk of one text counts once, with its bytes added up
-                key = np.lexsort((h, d))
-                h, size, d, rare = h[key], size[key], d[key], rare[key]
-                if len(h):
-                    start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-                    size, rare = np.add.reduceat(size, start), np.logical_or.reduceat(rare, start)
-                    h, d = h[start], d[start]
-                allh, alld = np.r_[h, sh], np.r_[d, sd]
+                i, d, p, q, n = neardup.prefixes(v, o, sketch.value, t)
+                ok = new[d]
+                i, d, p, q = i[ok], d[ok], p[ok], q[ok]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(allh.view(np.int64)),
-                        pa.array(cls[alld].view(np.int64)),
-                        pa.array(np.r_[size, np.zeros(len(sh), dtype=np.int64)].astype(np.int32)),
-                        pa.array(total[alld].astype(np.int32)),
-                        pa.array(np.diff(o)[alld].astype(np.int32)),
-                        pa.array(np.r_[rare, np.ones(len(sh), dtype=bool)]),
-                    ],
-                    ["chunk", "cls", "bytes", "total", "n", "rare"],
+                    [pa.array(v[i].view(np.int64)), pa.array(cls[d].view(np.int64)), pa.array(n[d].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32))],
+                    ["tok", "cls", "n", "p", "q"],
                 )
 
-    return docs.select("text").mapInArrow(run, "chunk long, cls long, bytes int, total int, n int, rare boolean")
-
-
-def chunk_tokens(w: text.Words, v: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the count sketch counts: chunks, and shingles of short texts."""
-    h, _, d = w.chunks(RADIUS)
-    doc = np.repeat(np.arange(len(o) - 1), np.diff(o))
-    short = w.per_doc[doc] < SHORT
-    return np.r_[h, v[short]], np.r_[d, doc[short]]
+    return docs.select("text").mapInArrow(run, "tok long, cls long, n int, p int, q int")
 
 
 class ChunkTable:
-    """The persistent chunk-to-record table: appended generation by generation, never rewritten."""
+    """The persistent table of chunks (or prefix shingles) and their records: appended generation by generation, never rewritten."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
@@ -104,19 +57,6 @@ class ChunkTable:
         return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/generation=*")
 
 
-def shared(new: DataFrame, table: DataFrame, t: float) -> DataFrame:
-    """(a, b): pairs of different records, a of ``new``, whose common rare chunks pass the coverage bound; pairs of short texts need one common rare shingle.
-
-    Sets whose sizes alone exclude similarity t are dropped within the join.
-    """
-    x, y = new.where("rare").alias("x"), table.where("rare").alias("y")
-    sized = (F.col("x.n") >= t * F.col("y.n") - F.lit(1e-9)) & (F.col("y.n") >= t * F.col("x.n") - F.lit(1e-9))
-    hit = x.join(y, (F.col("x.chunk") == F.col("y.chunk")) & (F.col("x.cls") != F.col("y.cls")) & sized)
-    rows = hit.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.bytes", "y.bytes").alias("common"), F.least("x.total", "y.total").alias("least"))
-    pairs = rows.groupBy("a", "b", "least").agg(F.sum("common").alias("common"), F.min("common").alias("low"))
-    return pairs.where((F.col("low") == 0) | (F.col("common") >= F.lit(COVERAGE) * F.col("least"))).select("a", "b")
-
-
 def seen_before(history: DataFrame, batches: DataFrame, text_col: str, order: list[str], k: int = 5, t: float = 0.8, table: ChunkTable | None = None) -> DataFrame:
     """The deliveries of ``batches`` whose text is the same as, or similar (t on k-word shingles) to, one of ``history`` or of an earlier delivery.
 
@@ -131,15 +71,14 @@ def seen_before(history: DataFrame, batches: DataFrame, text_col: str, order: li
     h = history.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), (-1 - F.abs(F.xxhash64(text_col) % (1 << 62))).alias("id"))
     n = batches.where(F.col(text_col).isNotNull() & F.col(b).isNotNull() & F.col(s).isNotNull()).select(F.col(text_col).alias("text"), place.alias("id"))
     both = h.union(n)
-    rows, counts = neardup.classes(both, k, chunk_tokens)
+    rows, counts = neardup.classes(both, k)
     rows = rows.distinct()
     sketch = spark.sparkContext.broadcast(counts)
     table = table or ChunkTable(spark)
-    table.append(chunk_rows(h, k, t, sketch), 0)
-    fresh = chunk_rows(n, k, t, sketch)
-    table.append(fresh, 1)
-    fresh = table.read().where("generation = 1")
-    cand = shared(fresh, table.read(), t).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    table.append(prefix_rows(h, k, t, sketch), 0)
+    table.append(prefix_rows(n, k, t, sketch), 1)
+    # a set of the history and of a delivery may go by either row: its deliveries are found by the history anyway
+    cand = neardup.candidates(table.read().withColumn("fresh", F.col("generation") == 1), t, fresh="fresh")
     links = neardup.verified(both, rows, cand, k, t)
     rows = rows.select("cls", F.greatest("id", F.lit(-1)).alias("at")).distinct()
     first = rows.groupBy("cls").agg(F.min("at").alias("first"))

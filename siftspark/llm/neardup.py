@@ -143,8 +143,8 @@ def near_pairs(df: DataFrame, id_col: str, column: str, k: int = 5, t: float = 0
     return members, verified(docs, members, candidates(posts, t), k, t)
 
 
-def candidates(posts: DataFrame, t: float, depth: int = 4) -> DataFrame:
-    """(a, b), a < b: classes that pass the prefix filter of both orders.
+def candidates(posts: DataFrame, t: float, depth: int = 4, fresh: str | None = None) -> DataFrame:
+    """(a, b), a < b: classes that pass the prefix filter of both orders; with ``fresh``, a column of truth values, only pairs of which one is fresh.
 
     Two sets with ``need`` common tokens have e + 1 of them among the first
     n - need + 1 + e tokens of each, for any e for which that is within the
@@ -159,7 +159,8 @@ def candidates(posts: DataFrame, t: float, depth: int = 4) -> DataFrame:
     extra = F.greatest(F.lit(0), F.least(F.lit(depth), length(na) - 1 - (na - need), length(nb) - 1 - (nb - need)))
     sized = (na >= t * nb - F.lit(1e-9)) & (nb >= t * na - F.lit(1e-9))
     hit = lambda c: (F.col(f"a.{c}") >= 0) & (F.col(f"b.{c}") >= 0) & (F.col(f"a.{c}") <= na - need + extra) & (F.col(f"b.{c}") <= nb - need + extra)
-    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.cls") < F.col("b.cls")) & sized & (hit("p") | hit("q")))
+    on = (F.col("a.tok") == F.col("b.tok")) & (F.col("a.cls") < F.col("b.cls")) & sized & (hit("p") | hit("q"))
+    pairs = a.join(b, on & (F.col(f"a.{fresh}") | F.col(f"b.{fresh}")) if fresh else on)
     rows = pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), extra.cast("int").alias("extra"), hit("p").cast("int").alias("x"), hit("q").cast("int").alias("y"))
     return rows.groupBy("a", "b", "extra").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where("x > extra and y > extra").select("a", "b")
 

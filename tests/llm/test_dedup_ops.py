@@ -156,3 +156,20 @@ def test_batches_are_accepted_by_coverage(spark, tmp_path):
     assert got == {"b": True, "d": False}
     got = {x.doc_id: x.accepted for x in history.accept_batch(table, one([("f", b), ("g", c), ("h", c + " " + text(80))]), "doc_id", "body", 2).collect()}
     assert got == {"f": False, "g": True, "h": True}
+
+
+def test_history_finds_spread_edits(spark):
+    r = random.Random(11)
+    old, rows = [], []
+    while len(old) < 600:
+        n = r.choice([60, 64, 80, 100, 100])
+        a = [f"w{r.randint(0, 99999)}" for _ in range(n)]
+        b = list(a)
+        for i in range(r.randint(4, 20), n, 23):
+            b[i] = f"w{r.randint(0, 99999)}"
+        if _brute([" ".join(a), " ".join(b)], 4, 0.7):
+            rows.append((1, len(old), " ".join(b)))
+            old.append((f"a{len(old)}", " ".join(a)))
+    h = spark.createDataFrame(old, "doc_id string, body string")
+    got = history.seen_before(h, spark.createDataFrame(rows, "batch_no int, seq int, body string"), "body", ["batch_no", "seq"], 4, 0.7)
+    assert got.count() == len(rows)
