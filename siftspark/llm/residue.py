@@ -10,6 +10,7 @@ in a sentence of its own is no evidence.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ _SLOT = re.compile(
 )
 _URL_SLOT = re.compile(r"\{|\}|%7B|%7D|\$\(|<|>|%3C|%3E|\[|\]|%5B|%5D|__[A-Za-z]\w*?__|%[A-Za-z_]{3,}%|/:[a-z]|@[a-z]+@|/(?:undefined|null|nan|none|slug|title|object%20object)(?=[/\-.?#]|$)|[-=](?:undefined|null|nan)(?=[/\-.?#&]|$)|\[object|#\w+#", re.I)
 _WORD = re.compile(r"[\wऀ-ॿ]+", re.U)
+_NUMBERS = re.compile(r"[0-9०-९].*[।.?!]\W*$")
 _SENTENCE = re.compile(r"(?<=[।.!?…])\s+|\n|\s+\|\s+")
 # Words of the usual filler, and of everyday English, by which filler is told from a sentence about filler.
 _FILLER = re.compile(r"\b(?:lorem|ipsum)\b", re.I)
@@ -100,9 +102,29 @@ def text_evidence(text: str | None) -> str | None:
     return None
 
 
+line_evidence = lru_cache(1 << 14)(text_evidence)
+
+
+def split_evidence(rest: str | None, taken: str | None) -> str | None:
+    """Evidence in what is left of a body, or in the furniture taken from it if that evidence has more words than what is left.
+
+    Sentences with numbers are told from furniture by their numbers only, so those taken without evidence count as left.
+    """
+    kind = text_evidence(rest)
+    if kind or not taken:
+        return kind
+    held, left = [], len(_WORD.findall(rest or ""))
+    for x in taken.split("\n"):
+        if k := line_evidence(x):
+            held.append((k, x))
+        elif _NUMBERS.search(x) and len(words := _WORD.findall(x)) >= 4:
+            left += len(words)
+    return held[0][0] if held and (not left or sum(len(_WORD.findall(x)) for _, x in held) > left) else None
+
+
 @F.pandas_udf(T.StringType())
-def find_evidence(s: pd.Series) -> pd.Series:
-    return s.map(text_evidence, na_action="ignore")
+def body_evidence(rest: pd.Series, taken: pd.Series) -> pd.Series:
+    return pd.Series([split_evidence(r, t) for r, t in zip(rest.where(rest.notna(), None), taken.where(taken.notna(), None))], dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -115,7 +137,9 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "body", url_c
 
     A line is a host's furniture if it stands in at least ``min_docs`` and
     ``min_share`` of the host's distinct records; furniture is subtracted before
-    the rest is judged. Records without a readable host are judged whole. Null
+    the rest is judged. Where no word is left, or the furniture that holds
+    evidence has more words than what is left, the furniture is the body and the
+    record is judged whole. Records without a readable host are judged whole. Null
     texts have no evidence; a repeated row counts once; each id comes once.
     Counting is over hashes of (host, line): a host with a third of all rows is
     spread over all tasks.
@@ -127,8 +151,10 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "body", url_c
     k1, k2 = hash128(F.col("host"), F.col("key"))
     counts = lines.select("host", k1.alias("k1"), k2.alias("k2"), "id").distinct().groupBy("host", "k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     common = counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("size")).groupBy("host").agg(F.collect_set("k1").alias("common"))
-    kept = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("common"), F.xxhash64(F.col("host"), line_key(x)))))
+    common_line = lambda x: F.array_contains(F.col("common"), F.xxhash64(F.col("host"), line_key(x)))
+    kept = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x: ~common_line(x)))
+    taken = F.concat_ws("\n", F.filter(F.split("text", "\n"), common_line))
     # at most 1 / min_share lines recur on a host per line of a record: the joined side is tiny for each host
-    left = rows.join(common, "host", "left").withColumn("rest", F.when(F.col("common").isNull(), F.col("text")).otherwise(kept))
-    kind = F.when(unfilled_url("url"), F.lit("url")).otherwise(find_evidence("rest"))
+    left = rows.join(common, "host", "left").withColumn("rest", F.when(F.col("common").isNull(), F.col("text")).otherwise(kept)).withColumn("taken", F.when(F.col("common").isNotNull(), taken))
+    kind = F.when(unfilled_url("url"), F.lit("url")).otherwise(body_evidence("rest", "taken"))
     return left.select("id", kind.alias("kind")).where("kind is not null").groupBy("id").agg(F.min("kind").alias("kind")).withColumnRenamed("id", id_col)

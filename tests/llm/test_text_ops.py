@@ -78,6 +78,15 @@ def test_residue_subtracts_furniture(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [30, 300])
+def test_residue_keeps_evidence_that_is_the_body(spark, n):
+    nav, notice = "Home | News | Sport", "404 Not Found"
+    bad = {f"d{i}" for i in range(0, n, 5)}
+    body = lambda i: f"{nav}\n{notice}" + ("\nRef " + "qwrtz"[i % 5] * 3 if i % 2 else "") if f"d{i}" in bad else f"{nav}\nThe council of ward {i} met and agreed on the plan for roads."
+    df = spark.createDataFrame([(f"d{i}", f"https://x.example/{i}", body(i)) for i in range(n)], "doc_id string, url string, body string")
+    assert {r.doc_id for r in residue.residue(df).collect()} == bad
+
+
 def _pages(n=40):
     r = random.Random(7)
     w = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(300)]
