@@ -211,9 +211,19 @@ def page_lines(df: DataFrame) -> DataFrame:
 
 
 def constants(pages: DataFrame) -> DataFrame:
-    """(key): lines, or sentences of prose lines, that stand on RECURS or more pages."""
-    both = F.array_distinct(F.concat(F.filter("keys", lambda k: k != 0), F.flatten("part")))
-    return pages.select(F.explode(both).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS).select("key")
+    """(key): lines that stand on RECURS or more pages; lines of prose, and their sentences, that stand beside so many stories.
+
+    A page's story is named by its rarest line of prose, so the pages of a story
+    that is syndicated or fetched again count once.
+    """
+    zipped = F.filter(F.arrays_zip("keys", "shapes"), lambda x: x["keys"] != 0)
+    prose = F.transform(F.filter(zipped, lambda x: x["shapes"] == PROSE), lambda x: x["keys"])
+    other = F.transform(F.filter(zipped, lambda x: x["shapes"] != PROSE), lambda x: x["keys"])
+    rows = lambda x: pages.select("page", F.explode(F.array_distinct(x)).alias("key"))
+    counts = rows(prose).groupBy("key").agg(F.count("*").alias("n"))
+    story = rows(prose).join(counts, "key").groupBy("page").agg(F.min(F.struct("n", "key")).alias("story"))
+    beside = rows(F.concat(prose, F.flatten("part"))).join(story, "page").groupBy("key").agg(F.countDistinct("story").alias("n"))
+    return rows(other).groupBy("key").agg(F.count("*").alias("n")).union(beside).where(F.col("n") >= RECURS).select("key").distinct()
 
 
 def streams(pages: DataFrame, const: DataFrame) -> DataFrame:

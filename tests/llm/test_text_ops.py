@@ -116,6 +116,15 @@ def test_wrapper_finds_what_is_not_the_story(spark):
     assert wrapper.boilerplate(df.limit(0)).count() == 0
 
 
+def test_wrapper_keeps_a_syndicated_story(spark):
+    rows, want = _pages()
+    story = "\n".join(f"The {x} of the valley was opened to the public on Monday." for x in ("bridge", "school", "market"))
+    rows += [(f"s{i}", f"https://h{i}.example/{i}", f"h{i}", "Title", "Home\n" + story) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id string, url string, source string, headline string, body string")
+    got = {r.doc_id: list(r.lines) for r in wrapper.boilerplate(df).collect()}
+    assert got == want | {f"s{i}": [1] for i in range(6)}
+
+
 def test_wrapper_expression():
     w = wrapper.Wrapper()
     w.add([1, "P", "P", 2], [False, False, True, False])
