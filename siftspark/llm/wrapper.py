@@ -280,9 +280,18 @@ def infer(pages: DataFrame) -> DataFrame:
 
 
 def verdicts(wrappers: DataFrame) -> DataFrame:
-    """(key, n, inside): places of each constant over the wrappers of all hosts."""
-    nodes = wrappers.select(F.explode(F.arrays_zip("tokens", "n", "inside")).alias("x")).where("x.tokens not in ('P', 'L', 'T')")
-    return nodes.groupBy(F.col("x.tokens").cast("long").alias("key")).agg(F.sum("x.n").alias("n"), F.sum("x.inside").alias("inside"))
+    """(host, key, n, inside): places of each constant by which a page of the host is judged.
+
+    They are those of the host's own wrapper where it has TRUSTED places or more, most of them outside the
+    prose: it is furniture there. Else they are those of all hosts but the ones where it is such furniture.
+    """
+    nodes = wrappers.select("host", F.explode(F.arrays_zip("tokens", "n", "inside")).alias("x")).where("x.tokens not in ('P', 'L', 'T')")
+    own = nodes.groupBy("host", F.col("x.tokens").cast("long").alias("key")).agg(F.sum("x.n").alias("own_n"), F.sum("x.inside").alias("own_inside"))
+    own = own.withColumn("out", (F.col("own_n") >= TRUSTED) & (F.col("own_inside") * 2 < F.col("own_n")))
+    rest = own.where("not out").groupBy("key").agg(F.sum("own_n").alias("n"), F.sum("own_inside").alias("inside"))
+    both = own.join(rest, "key", "left")
+    pick = lambda c: F.when(F.col("out"), F.col(f"own_{c}")).otherwise(F.col(c)).alias(c)
+    return both.select("host", "key", pick("n"), pick("inside"))
 
 
 def site_names(pages: DataFrame) -> DataFrame:
@@ -337,7 +346,7 @@ def boilerplate(df: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     known = streams(pages, cut(constants(pages)))
     known = cut(known.select("page", "host", "keys", "part", "shapes", "known"))
     places = verdicts(infer(known))
-    hit = known.select("page", F.explode("keys").alias("key")).where("key <> 0").distinct().join(places, "key").groupBy("page").agg(F.collect_list(F.struct("key", "n", "inside")).alias("places"))
+    hit = known.select("page", "host", F.explode("keys").alias("key")).where("key <> 0").distinct().join(places, ["host", "key"]).groupBy("page").agg(F.collect_list(F.struct("key", "n", "inside")).alias("places"))
     named = pages.select("page", "host", F.explode("segs").alias("seg")).join(site_names(pages), ["seg", "host"], "left_semi").select("page").distinct().withColumn("named", F.lit(True))
     full = pages.join(known.select("page", "known"), "page").join(hit, "page", "left").join(named, "page", "left")
 

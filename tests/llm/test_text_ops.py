@@ -125,6 +125,15 @@ def test_wrapper_keeps_a_syndicated_story(spark):
     assert got == want | {f"s{i}": [1] for i in range(6)}
 
 
+def test_a_label_is_furniture_on_its_host_only(spark):
+    para = lambda i, j: f"Story {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} has part {'uvwxyz'[j]} and tells of the road."
+    rows = [(f"h{i}", "https://hot.example/x", "hot", "T", f"{para(i, 0)}\n{para(i, 1)}\nBackground") for i in range(40)]
+    rows += [(f"o{i}", f"https://o{i % 6}.example/x", "o", "T", f"{para(i, 2)}\nBackground\n{para(i, 3)}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, url string, source string, headline string, body string")
+    got = {r.doc_id: list(r.lines) for r in wrapper.boilerplate(df).collect()}
+    assert got == {f"h{i}": [3] for i in range(40)} | {f"o{i}": [] for i in range(40)}
+
+
 def test_wrapper_expression():
     w = wrapper.Wrapper()
     w.add([1, "P", "P", 2], [False, False, True, False])
