@@ -89,7 +89,7 @@ def seen_before(history: DataFrame, batches: DataFrame, text_col: str, order: li
 
 
 def all_chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, cls, bytes, total): every chunk of each distinct text of ``docs`` (text)."""
+    """(chunk, cls, bytes, total): every chunk of each distinct text of ``docs`` (text), once for each task that holds the text."""
 
     def run(batches):
         seen: set[int] = set()
@@ -100,6 +100,12 @@ def all_chunks(docs: DataFrame) -> DataFrame:
                 total = np.bincount(d, weights=size, minlength=len(cls)).astype(np.int64)
                 ok = new[d]
                 h, size, d = h[ok], size[ok], d[ok]
+                # a repeated chunk of one text counts once, with its bytes added up
+                key = np.lexsort((h, d))
+                h, size, d = h[key], size[key], d[key]
+                if len(h):
+                    start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+                    h, size, d = h[start], np.add.reduceat(size, start), d[start]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls[d].view(np.int64)), pa.array(size.astype(np.int32)), pa.array(total[d].astype(np.int32))], ["chunk", "cls", "bytes", "total"])
 
     return docs.select("text").mapInArrow(run, "chunk long, cls long, bytes int, total int")
@@ -125,7 +131,7 @@ def accept_batch(table: ChunkTable, batch: DataFrame, id_col: str, text_col: str
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep + at)), pa.array(cls[keep].view(np.int64))], ["id", "cls"])
 
     rows = cut(some.mapInArrow(member, f"id {dict(docs.dtypes)['id']}, cls long").distinct())
-    fresh = cut(all_chunks(some).groupBy("chunk", "cls").agg(F.sum("bytes").alias("bytes"), F.max("total").alias("total")))
+    fresh = cut(all_chunks(some).dropDuplicates(["chunk", "cls"]))
     if generation > 0:
         known = fresh.join(table.read().select("chunk").distinct(), "chunk", "left_semi").groupBy("cls").agg(F.sum("bytes").alias("known"))
     else:

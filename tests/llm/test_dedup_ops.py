@@ -173,3 +173,16 @@ def test_history_finds_spread_edits(spark):
     h = spark.createDataFrame(old, "doc_id string, body string")
     got = history.seen_before(h, spark.createDataFrame(rows, "batch_no int, seq int, body string"), "body", ["batch_no", "seq"], 4, 0.7)
     assert got.count() == len(rows)
+
+
+def test_copies_over_tasks_do_not_raise_the_share(spark, tmp_path):
+    table = history.ChunkTable(spark, str(tmp_path / "chunks"))
+    r = random.Random(5)
+    text = lambda n: " ".join(f"w{r.randint(0, 9999)}" for _ in range(n))
+    one = lambda rows: spark.createDataFrame(rows, "doc_id string, body string")
+    old = text(60)
+    history.accept_batch(table, one([("a", old)]), "doc_id", "body", 0).collect()
+    new = old + " " + text(180)
+    got = {x.doc_id: x for x in history.accept_batch(table, one([(f"b{i}", new) for i in range(8)]).repartition(8), "doc_id", "body", 1).collect()}
+    assert all(0.1 < x.share < 0.4 for x in got.values())
+    assert {k for k, x in got.items() if x.accepted} == {"b0"}
