@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,51 +9,50 @@ from pyspark.sql import functions as F
 
 #: Items packed in one task; larger tables are cut into so many more tasks, each of which leaves at most a bin or two unfilled.
 SHARD = 40_000
-#: Bins weighed for an item, from the tightest on; if none of them meets all constraints, the next ones are tried.
-LOOK = 8
+
+#: Production limits of a container, as functions of its capacity: documents, and attention cost (the sum of squared lengths) as a share of the squared capacity.
+DOCS_PER_TOKEN, COST_SHARE = 1 / 128, 0.9
 
 
 def pack(sizes: np.ndarray, capacity: int, max_docs: int | None = None, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> np.ndarray:
     """Bin number of each item, all of 1 to ``capacity`` tokens; best fit in falling order of size.
 
     A bin has residual tokens, documents and attention cost (the sum of squared
-    lengths). Among bins with room in all three the one with the smallest
-    weighted residual norm after placing is taken; only if there is none, a bin
-    is opened. Ties go to the oldest bin, equal sizes keep the given order.
+    lengths). All open bins with room in all three are weighed, and the one with
+    the smallest weighted residual norm after placing is taken; only if there is
+    none, a bin is opened. An item that alone exceeds the cost has its own bin.
+    Without limits documents and cost follow from the tokens and never bind.
+    Ties go to the oldest bin, equal sizes keep the given order.
     """
     max_docs = max_docs or capacity
     max_cost = max_cost or float(capacity) * capacity
     wt, wd, wc = weights
     out = np.empty(len(sizes), dtype=np.int64)
-    docs: list[int] = []
-    cost: list[float] = []
-    open_: list[tuple[int, int]] = []  # (residual tokens, bin), sorted
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        s = int(sizes[i])
-        square = float(s) * s
-        at, best, best_norm, seen = bisect_left(open_, (s, -1)), -1, None, 0
-        while at < len(open_) and (seen < LOOK or best < 0):
-            r, b = open_[at]
-            floor = wt * ((r - s) / capacity) ** 2
-            if best_norm is not None and floor >= best_norm:
-                break
-            if docs[b] < max_docs and cost[b] + square <= max_cost:
-                norm = floor + wd * (1 - (docs[b] + 1) / max_docs) ** 2 + wc * (1 - (cost[b] + square) / max_cost) ** 2
-                if best_norm is None or norm < best_norm:
-                    best, best_norm = at, norm
-            at += 1
-            seen += 1
-        if best < 0:
-            r, b = capacity, len(docs)
-            docs.append(0)
-            cost.append(0.0)
+    room, docs, cost, name = np.empty(0), np.empty(0), np.empty(0), np.empty(0, dtype=np.int64)
+    used = bins = 0  # bins that are open, and all
+    for step, i in enumerate(np.argsort(-sizes, kind="stable").tolist()):
+        s = float(sizes[i])
+        if used == len(room):
+            room, docs, cost, name = (np.concatenate([x[:used], np.empty(max(64, used), dtype=x.dtype)]) for x in (room, docs, cost, name))
+        fits = np.flatnonzero((room[:used] >= s) & (cost[:used] <= max_cost - s * s))
+        if len(fits):
+            norm = wt * ((room[fits] - s) / capacity) ** 2 + wd * (1 - (docs[fits] + 1) / max_docs) ** 2 + wc * (1 - (cost[fits] + s * s) / max_cost) ** 2
+            b = fits[np.argmin(norm)]
         else:
-            r, b = open_.pop(best)
+            b = used
+            room[b], docs[b], cost[b], name[b] = capacity, 0, 0, bins
+            used += 1
+            bins += 1
+        room[b] -= s
         docs[b] += 1
-        cost[b] += square
-        if r - s > 0 and docs[b] < max_docs:
-            insort(open_, (r - s, b))
-        out[i] = b
+        cost[b] += s * s
+        if docs[b] >= max_docs:
+            room[b] = 0
+        out[i] = name[b]
+        if step % 256 == 255:  # full bins leave the list
+            keep = np.flatnonzero(room[:used] > 0)
+            room, docs, cost, name = room[keep], docs[keep], cost[keep], name[keep]
+            used = len(keep)
     return out
 
 
@@ -84,8 +81,12 @@ def fill(items: DataFrame, capacity: int, container_id: int, id_col: str = "doc_
     return rows.groupBy("shard").applyInPandas(run, f"container_id int, bin long, doc_id {kind}, piece int, start long, tokens long")
 
 
-def fill_all(docs: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``fill`` for each row of ``containers`` (container_id, tokenizer, capacity), a table of settings."""
+def fill_all(docs: DataFrame, containers: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs_per_token: float = DOCS_PER_TOKEN, cost_share: float = COST_SHARE, **kw) -> DataFrame:
+    """``fill`` for each row of ``containers`` (container_id, tokenizer, capacity), a table of settings.
+
+    A container holds at most ``docs_per_token`` times its capacity in documents (one at least), and
+    documents whose squared lengths add up to ``cost_share`` of its squared capacity, or one document.
+    """
     from siftspark.llm.bpe import token_counts
     from siftspark.session import cut
 
@@ -93,6 +94,6 @@ def fill_all(docs: DataFrame, containers: DataFrame, id_col: str = "doc_id", tex
     sizes = {t: cut(token_counts(docs, id_col, text_col, t)) for t in sorted({r.tokenizer for r in settings})}
     out = None
     for r in settings:
-        one = fill(sizes[r.tokenizer], r.capacity, r.container_id, id_col, **kw)
+        one = fill(sizes[r.tokenizer], r.capacity, r.container_id, id_col, max_docs=max(1, int(docs_per_token * r.capacity)), max_cost=cost_share * float(r.capacity) ** 2, **kw)
         out = one if out is None else out.union(one)
     return out

@@ -87,7 +87,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     from siftspark.llm import neardup
 
-    return neardup.groups(*neardup.near_pairs(table(spark, d, "articles"), "doc_id", "body", k=5, t=0.8))
+    return neardup.groups(*neardup.near_pairs(table(spark, d, "articles"), "doc_id", "body", k=4, t=0.7))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,9 +109,9 @@ def p9_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_use(spark: SparkSession, d: str) -> DataFrame:
-    bins = p9_bins(spark, d).groupBy("container_id", "bin").agg(F.sum("tokens").alias("tokens"))
+    bins = p9_bins(spark, d).groupBy("container_id", "bin").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"), F.sum(F.col("tokens").cast("double") * F.col("tokens")).alias("cost"))
     c = table(spark, d, "container_sizes").select("container_id", "capacity").distinct()
-    use = bins.groupBy("container_id").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"))
+    use = bins.groupBy("container_id").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"), F.max("docs").alias("most_docs"), F.max("cost").alias("most_cost"))
     return use.join(c, "container_id").withColumn("used", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6))
 
 

@@ -49,6 +49,37 @@ def test_packing_holds_all_constraints():
     assert len(packing.pack(np.zeros(0, dtype=int), 10)) == 0
 
 
+def test_each_limit_of_a_container_binds(spark):
+    sizes = np.array([60, 40, 30, 30, 20, 10, 5, 5])
+    assert packing.pack(sizes, 100).max() + 1 == 2
+    by_docs = np.bincount(packing.pack(sizes, 100, max_docs=2))
+    assert by_docs.max() == 2 and len(by_docs) == 4
+    by_cost = packing.pack(sizes, 100, max_cost=3000)
+    assert (np.bincount(by_cost) == 1)[by_cost[0]] and by_cost.max() + 1 == 3  # 60 alone has a cost of 3600
+    df = spark.createDataFrame([(i, 10) for i in range(300)] + [(300 + i, 990) for i in range(5)], "doc_id long, tokens long")
+    rows = packing.fill(df, 1000, 1, max_docs=50, max_cost=0.9 * 1000**2).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.bin, []).append(r.tokens)
+    assert max(map(len, bins.values())) == 50 and all(len(x) == 1 for x in bins.values() if 990 in x) and len(bins) == 11
+
+
+def test_all_bins_are_weighed():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        sizes = np.sort(r.integers(1, 60, 150))[::-1]
+        got, room, docs, cost = packing.pack(sizes, 100, max_docs=6, max_cost=5000), [], [], []
+        for s, b in zip(sizes.tolist(), got.tolist()):
+            norm = [((x - s) / 100) ** 2 + 0.05 * (1 - (n + 1) / 6) ** 2 + 0.05 * (1 - (c + s * s) / 5000) ** 2 if x >= s and n < 6 and c + s * s <= 5000 else 9 for x, n, c in zip(room, docs, cost)]
+            want = int(np.argmin(norm)) if norm and min(norm) < 9 else len(room)
+            assert b == want
+            if want == len(room):
+                room.append(100), docs.append(0), cost.append(0)
+            room[b] -= s
+            docs[b] += 1
+            cost[b] += s * s
+
+
 def test_fill_splits_only_what_is_too_long(spark):
     rows = [(1, 25), (2, 10), (3, 7), (4, 3), (5, 0)]
     got = packing.fill(spark.createDataFrame(rows, "doc_id long, tokens long"), 10, 1).collect()
