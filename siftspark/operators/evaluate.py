@@ -148,11 +148,12 @@ def paired_t(pairs: DataFrame) -> DataFrame:
 
 
 def randomization(pairs: DataFrame, rounds: int = 10_000, seed: int = 0) -> DataFrame:
-    """One row (n, mean_diff, p): share of sign flips at least as extreme, (hits + 1) / (rounds + 1). Signs are bits of a hash of (round, query), so rounds are spread over tasks."""
+    """One row (n, mean_diff, p): share of sign flips at least as extreme, (hits + 1) / (rounds + 1). Signs are bits of the MD5 of (seed, round, query), so rounds are spread over tasks and any engine repeats them."""
     d = pairs.where("a is not null and b is not null").select("qid", (F.col("a") - F.col("b")).alias("d"))
     real = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"))
     flips = d.select("qid", "d", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    sign = F.when(F.xxhash64(F.lit(seed), "round", "qid").bitwiseAND(1) == 0, 1.0).otherwise(-1.0)
+    digit = F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col("qid").cast("string")).cast("binary")), F.lit(1))
+    sign = F.when(digit.isin(*"02468ace"), 1.0).otherwise(-1.0)
     sums = flips.groupBy("round").agg(F.avg(sign * F.col("d")).alias("m")).join(F.broadcast(real))
     hits = sums.agg(F.sum((F.abs("m") >= F.abs("mean_diff") - 1e-12).cast("int")).alias("hits"), F.first("n").alias("n"), F.first("mean_diff").alias("mean_diff"))
     return hits.select("n", "mean_diff", ((F.col("hits") + 1) / (rounds + 1)).alias("p"))

@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as X
-from siftspark.session import cut
+from siftspark.session import cut, is_small
 
 ZONES = ("headline", "body")
 
 
+#: Repeated ids that are sent to every task (16 MB); more are joined.
+REPEATED = 1_000_000
+
+
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", order: str | None = None) -> DataFrame:
-    """One row per id: the first by ``order`` (all columns break ties), so that repeated rows count once. Null ids are dropped."""
+    """One row per id: the first by ``order`` (all columns break ties), so that repeated rows count once. Null ids are dropped.
+
+    Only rows of ids that occur several times are shuffled; the others stay
+    where they are read.
+    """
+    docs = docs.where(F.col(id_col).isNotNull())
+    several = cut(docs.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__c")).where("__c > 1").select("__id"))
+    if (many := several.count()) == 0:
+        return docs
+    ids = F.broadcast(several) if many <= REPEATED else several
     keys = [F.col(order)] if order else []
     rest = [F.xxhash64(*[F.col(c) for c in docs.columns])]
-    return docs.where(F.col(id_col).isNotNull()).withColumn("__rn", F.row_number().over(W.partitionBy(id_col).orderBy(*keys, *rest))).where("__rn = 1").drop("__rn")
+    same = docs[id_col] == F.col("__id")
+    repeated = docs.join(ids, same, "left_semi").withColumn("__rn", F.row_number().over(W.partitionBy(id_col).orderBy(*keys, *rest))).where("__rn = 1").drop("__rn")
+    return docs.join(ids, same, "left_anti").unionByName(repeated)
 
 
 def as_articles(documents: DataFrame) -> DataFrame:
@@ -70,10 +85,10 @@ class Index:
     n: DataFrame
 
     def save(self, path: str) -> None:
-        """Parquet under path/mode=...; postings sorted by term, so that a term's row groups are found by their statistics."""
+        """Parquet under path/mode=...; postings in ranges of (term, document) and sorted, so that a term's row groups are found by their statistics and a term of a third of all documents is spread over many files."""
         for name in ("docs", "terms", "stats", "n"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}/mode={self.mode}")
-        self.post.repartition("term").sortWithinPartitions("term", "zone", "doc_id").write.mode("overwrite").parquet(f"{path}/post/mode={self.mode}")
+        self.post.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "zone", "doc_id").write.mode("overwrite").parquet(f"{path}/post/mode={self.mode}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, mode: str) -> "Index":
@@ -83,6 +98,13 @@ class Index:
         return Index(mode, read("docs"), read("post"), read("terms"), read("stats"), read("n"))
 
 
+def restrict(index: Index, words: DataFrame) -> Index:
+    """The index with the postings and statistics of the terms in ``words`` (term) only, written once: all rankers and stages of a batch of queries read these."""
+    w = words.select("term").distinct()
+    w = F.broadcast(w) if is_small(w) else w
+    return replace(index, post=cut(index.post.join(w, "term", "left_semi")), terms=cut(index.terms.join(w, "term", "left_semi")))
+
+
 def build(docs: DataFrame, mode: str = "none", auto: Column | None = None, order: str | None = None, compose: bool = True, keep: bool = False) -> Index:
     """Index of ``docs`` (doc_id, headline, body, ...); the first row of a repeated id wins.
 

@@ -65,15 +65,26 @@ def proximity_search(post: DataFrame, q: DataFrame, distance: int, zone: str | N
 
 
 def smallest_window(post: DataFrame, q: DataFrame) -> DataFrame:
-    """(qid, doc_id, zone, matched, span): terms of the query that stand in a zone, and the tightest span of positions that covers them; null span for fewer than two."""
-    at = hits(post, q).select("qid", "doc_id", "zone", "term", F.explode("positions").alias("pos")).distinct()
-    terms = at.groupBy("qid", "doc_id", "zone").agg(F.countDistinct("term").alias("matched"))
-    # events of a zone are bounded by the query's occurrences in one document
-    run = at.groupBy("qid", "doc_id", "zone").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("e"))
-    last = lambda i: F.aggregate(F.slice(F.col("e"), F.lit(1), i + 1), F.create_map().cast("map<string,int>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["term"]), F.create_map(x["term"], x["pos"])))
-    span = F.transform("e", lambda x, i: F.when(F.size(last(i)) == F.col("matched"), x["pos"] - F.array_min(F.map_values(last(i))) + 1))
-    out = run.join(terms, ["qid", "doc_id", "zone"])
-    return out.select("qid", "doc_id", "zone", "matched", F.when(F.col("matched") >= 2, F.array_min(F.filter(span, lambda v: v.isNotNull()))).cast("long").alias("span"))
+    """(qid, doc_id, zone, matched, span): terms of the query that stand in a zone, and the tightest span of positions that covers them; null span for fewer than two.
+
+    One pass over a zone's occurrences in order, which carries the last place of
+    each term and the best span so far.
+    """
+    at = hits(post, q.select("qid", "term").distinct()).select("qid", "doc_id", "zone", "term", "positions")
+    # a zone's terms are numbered by their place in its list; the list is bounded by the query's words
+    run = at.groupBy("qid", "doc_id", "zone").agg(F.collect_list(F.struct("term", "positions")).alias("ts"))
+    events = F.array_sort(F.flatten(F.transform("ts", lambda t, i: F.transform(t["positions"], lambda p: F.struct(p.cast("int").alias("pos"), i.cast("int").alias("no"))))))
+    run = run.select("qid", "doc_id", "zone", F.size("ts").cast("long").alias("matched"), events.alias("e"))
+    none = F.lit(None).cast("int")
+    start = F.struct(F.array_repeat(none, F.col("matched").cast("int")).alias("last"), none.alias("best"))
+
+    def step(acc, x):
+        last = F.transform(acc["last"], lambda v, i: F.when(i == x["no"], x["pos"]).otherwise(v))
+        full = X.bind(last, lambda l: F.struct(l.alias("last"), F.when(F.exists(l, lambda v: v.isNull()), none).otherwise(x["pos"] - F.array_min(l) + 1).alias("span")))
+        return X.bind(full, lambda y: F.struct(y["last"].alias("last"), F.least(acc["best"], y["span"]).alias("best")))
+
+    best = F.aggregate("e", start, step)["best"]
+    return run.select("qid", "doc_id", "zone", "matched", F.when(F.col("matched") >= 2, best).cast("long").alias("span"))
 
 
 def field_filter(docs: DataFrame, sources: list[str] | None = None, sections: list[str] | None = None, states: list[str] | None = None, date_from: str | None = None, date_to: str | None = None, date_col: str = "date") -> DataFrame:

@@ -122,11 +122,12 @@ def cascade(q: DataFrame, index: Index, scored: DataFrame, k: int = 10) -> DataF
 
 
 def static_score(docs: DataFrame, pagerank: DataFrame, date_col: str = "date", dup_col: str = "dup_of") -> DataFrame:
-    """(doc_id, g): .5 recency + .3 PageRank over its maximum + .2 for the original of its cluster."""
+    """(doc_id, g): .5 recency + .3 PageRank over its maximum + .2 for an original, a document that some copy names in ``dup_col``."""
+    firsts = docs.select(F.col(dup_col).alias("doc_id")).where("doc_id is not null").distinct().withColumn("original", F.lit(1.0))
     tops = docs.agg(F.max(date_col).alias("now")).join(pagerank.agg(F.max("pr").alias("top")))
-    x = docs.join(pagerank.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(F.broadcast(tops))
+    x = docs.join(pagerank.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(F.broadcast(tops)).join(firsts, "doc_id", "left")
     pr = F.when(F.col("top") > 0, F.coalesce(F.col("pr"), F.lit(0.0)) / F.col("top")).otherwise(0.0)
-    return x.select("doc_id", (0.5 * recency(F.col(date_col), F.col("now")) + 0.3 * pr + 0.2 * F.when(F.col(dup_col).isNull(), 1.0).otherwise(0.0)).alias("g"))
+    return x.select("doc_id", (0.5 * recency(F.col(date_col), F.col("now")) + 0.3 * pr + 0.2 * F.coalesce("original", F.lit(0.0))).alias("g"))
 
 
 # Words that give the direction of "kal", and the endings of the Hindi future.
@@ -167,7 +168,7 @@ def apply_kal(ranked: DataFrame, queries: DataFrame, docs: DataFrame, weight: fl
     today = docs.agg(F.max(F.to_date(date_col)).alias("today"))
     x = ranked.join(small(queries.select("qid", date_intent(F.col("query")).alias("intent"))), "qid").join(docs.select("doc_id", F.to_date(date_col).alias("day"), F.concat_ws(" ", "headline", "body").alias("text")), "doc_id").join(F.broadcast(today))
     x = x.withColumn("score", F.col("score") * (1 + weight * kal_boost(F.col("intent"), F.col("day"), F.col("today"), F.col("text"))))
-    return x.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("stage", F.desc("score"), "doc_id"))).select("qid", "doc_id", "score", "stage", "rank")
+    return x.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("stage", F.desc(F.round("score", 9)), "doc_id"))).select("qid", "doc_id", "score", "stage", "rank")
 
 
 def demote(ranked: DataFrame, page_types: DataFrame, factor: float = 0.3) -> DataFrame:
@@ -306,7 +307,7 @@ def rocchio(q: DataFrame, relevant: DataFrame, other: DataFrame | None, index: I
     if other is not None:
         every = every.unionByName(mean(other, -gamma))
     moved = every.groupBy("qid", "term").agg(F.sum("w").alias("w")).where("w > 0").join(small(q.select("qid", "term").distinct()), ["qid", "term"], "left_anti")
-    return moved.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("w"), "term"))).where(F.col("rank") <= k)
+    return moved.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("w", 9)), "term"))).where(F.col("rank") <= k)
 
 
 def feedback(q: DataFrame, index: Index, scored: DataFrame, page_types: DataFrame | None = None, first: int = 30, docs: int = 5, terms: int = 5) -> DataFrame:
