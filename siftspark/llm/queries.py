@@ -59,10 +59,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    from siftspark.llm import neardup
     from siftspark.llm.site_lines import without_repeated_lines
 
     a = table(spark, d, "articles").select("doc_id", "source", "date", "body")
-    return without_repeated_lines(a, min_docs=8, min_clusters=8, min_dates=2, date_col="date").select("doc_id", "body").distinct()
+    near = neardup.groups(*neardup.near_pairs(a, "doc_id", "body", k=5, t=0.8)).select("id", F.col("group_id").alias("cluster"))
+    return without_repeated_lines(a, min_docs=8, min_clusters=8, min_dates=2, date_col="date", clusters=near).select("doc_id", "body").distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 
 from siftspark.llm.base import hash128
 from siftspark.llm.site_lines import line_key
+from siftspark.session import cut
+
+#: Hashes of furniture lines that are sent to every task (16 MB); more are joined by host.
+FURNITURE = 2_000_000
 
 _NAME = r"[A-Za-zऀ-ॿ_][\w.\-]*(?:\s[\w.\-]+){0,2}"
 # the ways in which templates mark a slot
@@ -64,12 +68,46 @@ _QUOTED = re.compile(r"(?:^|[\s(])['‘\"“«][^'’\"”»]{2,60}['’\"”»]
 _ASKS = re.compile(r"\b(?:you|your|please|sorry|kripya|aap)\b|(?:^|\s)(?:आप|आपके|आपका|कृपया|क्षमा|माफ़|माफ)(?=\s)", re.I)
 
 
+# In lower case, one part of every way to match the patterns above; a sentence with none of them matches none.
+MARKS = (
+    "{", "<", "%", "[", "&lt;", "__", "@", "#", "lorem", "ipsum", "undefined", "null", "nan", "function", "=>", "traceback", "warning:", "fatal error", "notice:", "uncaught", "errno", "stack trace", "widget:", "story body missing", "exception", "segmentation", "sqlstate", "syntax error", "failed to", "include(", "console.log", "document.write", "connection to database", "database",
+    "not found", "bad gateway", "forbidden", "server error", "service unavailable", "gateway time", "unauthori", "too many requests", "error", "cannot be", "can't be", "can not be", "could not be", "couldn't be", "page you", "cannot seem", "can't seem", "cano", "no content", "content available", "content is available", "content unavailable", "content is unavailable", "content not", "content is not", "denied", "something went wrong", "maintenance", "back at", "try again", "slow down", "oops", "loading", "no longer available", "been removed", "been deleted", "timed out", "request blocked", "expired", "could not load",
+    "nahi mil", "nahin mil", "nahim mil", "server mein", "home par wapas", "thodi der", "नहीं मिला", "हटा दी गई", "सर्वर में", "रखरखाव", "सामग्री उपलब्ध", "देर बाद", "देर में", "त्रुटि", "कुछ गड़बड़", "पहुँच", "अनुरोध पूरा",
+    "script", "cookies", "js", "noscript", "browser", "update it to see", "human", "robot", "captcha", "unusual traffic", "जावास्क्रिप्ट", "स्क्रिप्ट", "रोबोट", "मानव होने", "ब्राउज़र",
+    "placeholder", "type your", "replace before", "replace this", "dummy text", "sample text", "tk tk", "to come", "insert text", "insert headline", "insert story", "insert copy", "insert photo", "your text", "your headline", "your story", "headline here", "text goes here", "coming soon", "story here", "story text here", "अपना पाठ", "यहाँ", "शीर्षक", "नमूना पाठ", "जोड़ी", "लिखी", "डाली", "आए", "yahan",
+)
+
+
+@lru_cache(1)
+def _marks():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for m in MARKS:
+        a.add_word(m, True)
+    a.make_automaton()
+    return a
+
+
+def marked(s: str) -> bool:
+    """Whether a text holds one of MARKS, in one pass."""
+    return next(_marks().iter(s.lower()), None) is not None
+
+
 def evidence(sentence: str) -> str | None:
-    """Kind of evidence (template, filler, output, error, script) that a sentence is no news; None if there is none."""
+    """Kind of evidence (template, filler, output, error, script) that a sentence is no news; None if there is none.
+
+    A sentence that tells of something, or quotes it, is news about such things,
+    however long it is; one that speaks to the reader is not.
+    """
     s = sentence.strip()
     if not s:
         return None
     words = _WORD.findall(s)
+    if len(words) >= 3 and (len({w.lower() for w in words}) * 3 <= len(words) or _KEYS.match(s)):
+        return "filler"
+    if not marked(s):
+        return None
     tells = len(words) >= 6 and (bool(_QUOTED.search(s)) or bool(_TELLS.search(s)) and not _ASKS.search(s))
     slots = _SLOT.findall(s)
     if slots:
@@ -80,16 +118,13 @@ def evidence(sentence: str) -> str | None:
         plain = sum(w.lower() in _ENGLISH for w in words)
         if plain <= len(words) // 8:
             return "filler"
-    if len(words) >= 3 and (_KEYS.match(s) or len({w.lower() for w in words}) * 3 <= len(words)):
-        return "filler"
     if _OUTPUT.search(s) and not tells:
         return "output"
-    if tells:
+    if tells or _QUOTED.search(s):
         return None
-    if len(words) <= 24 and not _QUOTED.search(s):
-        for kind, pattern in (("error", _ERROR), ("script", _SCRIPT), ("filler", _FILL)):
-            if pattern.search(s):
-                return kind
+    for kind, pattern in (("error", _ERROR), ("script", _SCRIPT), ("filler", _FILL)):
+        if pattern.search(s):
+            return kind
     return None
 
 
@@ -145,16 +180,18 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "body", url_c
     spread over all tasks.
     """
     host = F.regexp_replace(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), r"^(www|m|amp)\.", "")
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.nullif(host, F.lit("")).alias("host"), F.col(url_col).alias("url"), F.col(text_col).alias("text")).distinct()
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.nullif(host, F.lit("")).alias("host"), F.col(url_col).alias("url"), F.col(text_col).alias("text"))
     sizes = rows.where("host is not null").select("host", "id").distinct().groupBy("host").agg(F.count("*").alias("size"))
     lines = rows.where("host is not null and text is not null").select("id", "host", F.explode(F.split("text", "\n")).alias("line")).withColumn("key", line_key(F.col("line"))).where("key <> ''")
     k1, k2 = hash128(F.col("host"), F.col("key"))
-    counts = lines.select("host", k1.alias("k1"), k2.alias("k2"), "id").distinct().groupBy("host", "k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    common = counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("size")).groupBy("host").agg(F.collect_set("k1").alias("common"))
+    counts = lines.select("host", k1.alias("k1"), k2.alias("k2"), F.xxhash64("id").alias("id")).distinct().groupBy("host", "k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    common = cut(counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("size")).groupBy("host").agg(F.collect_set("k1").alias("common")))
+    # at most 1 / min_share lines recur on a host per line of a record; texts are not shuffled unless the hosts have very many of them
+    held = common.agg(F.sum(F.size("common") + 4)).first()[0] or 0
+    common = F.broadcast(common) if held <= FURNITURE else common
     common_line = lambda x: F.array_contains(F.col("common"), F.xxhash64(F.col("host"), line_key(x)))
     kept = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda x: ~common_line(x)))
     taken = F.concat_ws("\n", F.filter(F.split("text", "\n"), common_line))
-    # at most 1 / min_share lines recur on a host per line of a record: the joined side is tiny for each host
     left = rows.join(common, "host", "left").withColumn("rest", F.when(F.col("common").isNull(), F.col("text")).otherwise(kept)).withColumn("taken", F.when(F.col("common").isNotNull(), taken))
     kind = F.when(unfilled_url("url"), F.lit("url")).otherwise(body_evidence("rest", "taken"))
     return left.select("id", kind.alias("kind")).where("kind is not null").groupBy("id").agg(F.min("kind").alias("kind")).withColumnRenamed("id", id_col)

@@ -186,3 +186,19 @@ def test_copies_over_tasks_do_not_raise_the_share(spark, tmp_path):
     got = {x.doc_id: x for x in history.accept_batch(table, one([(f"b{i}", new) for i in range(8)]).repartition(8), "doc_id", "body", 1).collect()}
     assert all(0.1 < x.share < 0.4 for x in got.values())
     assert {k for k, x in got.items() if x.accepted} == {"b0"}
+
+
+def test_near_copies_are_one_cluster(spark):
+    rows = [(f"d{i}", "s", f"one line of a story {i} that was edited\nclosing line", f"2026-01-{i + 1:02d}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id string, source string, body string, date string")
+    near = df.select(F.col("doc_id").alias("id"), F.lit("one").alias("cluster"))
+    assert site_lines.repeated_lines(df, min_clusters=2, date_col="date").count() == 18
+    assert site_lines.repeated_lines(df, min_clusters=2, date_col="date", clusters=near).count() == 0
+
+
+def test_an_id_with_several_texts_counts_once(spark):
+    rows = [(f"d{i}", "s", "shared line") for i in range(6)] + [("d0", "s", "shared line\nmore"), ("d1", "s", "other\nshared line"), ("d1", "s", "shared line\nx")]
+    df = spark.createDataFrame(rows, "doc_id string, source string, body string")
+    assert site_lines.repeated_lines(df, min_docs=7).count() == 0
+    got = {tuple(r) for r in site_lines.repeated_lines(df, min_docs=6).collect()}
+    assert got == {(f"d{i}", 1) for i in range(6)} | {("d1", 2)}

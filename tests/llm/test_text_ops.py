@@ -232,3 +232,9 @@ def test_gradients_are_right():
         down = t.gradients(ids, tags, n)[0]
         t.p[k][at] = old
         assert abs((up - down) / 2e-4 - g[k][at]) < 2e-3, k
+
+
+def test_long_notices_are_evidence():
+    s = "Please enable JavaScript in the settings of the program with which you read this page, then load the page again and wait until all parts of it have been shown on the screen."
+    assert len(s.split()) > 24 and residue.evidence(s) == "script"
+    assert residue.evidence("") is None and residue.text_evidence(None) is None
