@@ -38,10 +38,11 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from siftspark.llm import survivor
+    from siftspark.session import cut
 
     a = table(spark, d, "articles")
-    c = survivor.claims(a, survivor.duplicate_groups(a), FIELDS)
-    return survivor.best_by_trust(c, table(spark, d, "sources")).select("group_id", "field", "doc_id")
+    c = cut(survivor.claims(a, survivor.duplicate_groups(a), FIELDS))
+    return survivor.survivors(c, table(spark, d, "sources")).select("group_id", "field", "doc_id")
 
 
 def p3_truth(spark: SparkSession, d: str) -> DataFrame:
@@ -154,20 +155,29 @@ c as (select source, key from k where key <> '' group by source, key having coun
 select distinct k.doc_id as doc_id, cast(k.n as integer) as line_no from k join c on k.source = c.source and k.key = c.key
 """
 
-P3_SQL = r"""
+def _p3_sql() -> str:
+    from siftspark.llm.survivor import NO_VALUE
+
+    words = ", ".join("'" + x.replace("'", "''") + "'" for x in NO_VALUE)
+    space = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]+"
+    strip = lambda c: f"regexp_replace({c}, '^{space}|{space}$', '', 'g')"
+    date = strip("date")
+    zone = r"(Z|z|[+-]\d{2}:?\d{2}|[+-]\d{2})"
+    return rf"""
 with recursive e0 as (select distinct a.doc_id as u, a.dup_of as v from articles a where a.dup_of is not null and a.doc_id <> a.dup_of and a.dup_of in (select doc_id from articles)),
 e as (select u, v from e0 union select v, u from e0),
 r(s, n) as (select distinct u, u from e union select r.s, e.v from r join e on r.n = e.u),
 g as (select s as doc_id, min(n) as group_id from r group by s),
 t as (select source, max(trust) as trust from sources group by source),
-a as (select distinct g.group_id, x.doc_id, x.source, trim(x.date) as date, x.headline, x.section, x.state, x.city from articles x join g on g.doc_id = x.doc_id),
-b as (select *, case when regexp_matches(date, '^\d{4}-\d{2}-\d{2}') then epoch_us(try_cast(case when regexp_matches(date, '\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$') then date else date || '+05:30' end as timestamptz)) end as moment from a),
+a as (select distinct g.group_id, x.doc_id, x.source, {date} as date, x.headline, x.section, x.state, x.city from articles x join g on g.doc_id = x.doc_id),
+b as (select *, case when regexp_matches(date, '^\d{{4}}-\d{{2}}-\d{{2}}([T ]\d{{2}}:\d{{2}}(:\d{{2}}(\.\d+)?)?\s*{zone}?)?$') then epoch_us(try_cast(case when regexp_matches(date, '\d{{2}}:\d{{2}}.*{zone}$') then date when regexp_matches(date, '[T ]\d{{2}}:\d{{2}}') then date || '+05:30' else date || 'T00:00:00+05:30' end as timestamptz)) end as moment from a),
 f as (select group_id, doc_id, source, moment, 'headline' as field, headline as value from b union all select group_id, doc_id, source, moment, 'section', section from b union all select group_id, doc_id, source, moment, 'state', state from b union all select group_id, doc_id, source, moment, 'city', city from b),
-ok as (select * from f where value is not null and regexp_matches(value, '[\p{L}\p{N}]') and lower(trim(value)) not in ('na', 'n/a', 'null', 'none', 'unknown', 'nil', 'अज्ञात')),
+n as (select *, {strip('lower(value)')} as low from f where value is not null),
+ok as (select * from n where regexp_matches(low, '[\p{{L}}\p{{N}}]') and low not in ({words}) and regexp_replace(low, '^[^\p{{L}}\p{{M}}\p{{N}}]+|[^\p{{L}}\p{{M}}\p{{N}}]+$', '', 'g') not in ({words})),
 w as (select ok.group_id, ok.field, ok.doc_id, row_number() over (partition by ok.group_id, ok.field order by coalesce(t.trust, -1000000) desc, coalesce(ok.moment, -9000000000000000) desc, ok.doc_id) as rn from ok left join t on ok.source = t.source)
 select group_id, field, doc_id from w where rn = 1
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL, "p4_found": P4_SQL}
+    return {"p3_found": _p3_sql(), "p4_found": P4_SQL}

@@ -41,49 +41,66 @@ def claims(df: DataFrame, groups: DataFrame, fields: list[str], id_col: str = "d
     return rows.select("group_id", "x.field", "doc_id", "x.value", "source", "at").where(is_value(F.col("value")))
 
 
-def best_by_trust(c: DataFrame, trust: DataFrame) -> DataFrame:
-    """(group_id, field, doc_id, value): highest trust (null or unlisted lowest), then latest instant, then smallest id.
+#: Tier of sources that are null or not listed.
+LOWEST = -(1 << 62)
 
-    The limit of truth discovery in which one source of a higher rank outweighs
-    any number below it, so reliabilities stay at the given ranks. ``min`` of a
-    struct is aggregated in each task before the shuffle: a group with a third
-    of all records is no hot spot.
-    """
-    t = trust.groupBy("source").agg(F.max("trust").alias("trust"))
-    low = -(1 << 62)
-    key = F.struct(-F.coalesce(F.col("trust").cast("long"), F.lit(low)), -F.coalesce(F.col("at"), F.lit(low)), F.col("doc_id"), F.col("value"))
-    best = c.join(t, "source", "left").groupBy("group_id", "field").agg(F.min(key).alias("k"))
-    return best.select("group_id", "field", F.col("k.doc_id").alias("doc_id"), F.col("k.value").alias("value"))
+
+def reliabilities(c: DataFrame, trust: DataFrame | None, ranked: bool) -> DataFrame:
+    """(source, tier, w) of the sources in the claims ``c``: the start of ``truth``."""
+    sources = c.select(F.coalesce("source", F.lit("")).alias("source")).distinct()
+    if trust is None:
+        return sources.select("source", F.lit(0).cast("long").alias("tier"), F.lit(0.5).alias("w"))
+    x = sources.join(trust.where("source is not null").groupBy("source").agg(F.max("trust").cast("long").alias("trust")), "source", "left")
+    if ranked:
+        return x.select("source", F.coalesce("trust", F.lit(LOWEST)).alias("tier"), F.lit(0.5).alias("w"))
+    top = trust.agg(F.max("trust").alias("top"))
+    return x.join(F.broadcast(top)).select("source", F.lit(0).cast("long").alias("tier"), F.coalesce(F.col("trust") / F.col("top"), F.lit(0.1)).cast("double").alias("w"))
+
+
+def _support(votes: DataFrame, w: DataFrame) -> DataFrame:
+    """(group_id, field, value, tier, s): the highest tier of a value's sources, and the sum of their reliabilities in it; in each task first, then by value."""
+    part = votes.join(w, "source").groupBy("group_id", "field", "value", "tier").agg(F.sum("w").alias("s"))
+    return part.groupBy("group_id", "field", "value").agg(F.max(F.struct("tier", "s")).alias("k")).select("group_id", "field", "value", "k.tier", "k.s")
 
 
-def truth(c: DataFrame, trust: DataFrame | None = None, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
-    """(group_id, field, value, support): iterative truth discovery.
+def truth(c: DataFrame, trust: DataFrame | None = None, rounds: int = 20, tolerance: float = 1e-4, ranked: bool = False) -> DataFrame:
+    """(group_id, field, value, tier, support): iterative truth discovery; one row per group and field, the value with the highest support.
 
     Source reliabilities and weighted value votes are estimated in turn until no
     reliability moves by more than ``tolerance``: a value's support is the sum
     of its sources' reliabilities; a source's reliability is the smoothed mean
     share of support that its values hold in their groups. ``trust`` gives the
-    starting reliabilities. Ties go to the smallest value. Votes of one source
-    for one value in one group count once; claims without source count as one
-    nameless source.
+    starting reliabilities. With ``ranked`` it gives tiers instead: reliabilities
+    are B ** tier * w for a B beyond all bounds, of which only the leading term
+    is kept, so one source of a higher tier outweighs any number below it, and w
+    is estimated within its tier. Ties go to the smallest value. Votes of one
+    source for one value in one group count once; claims without source count as
+    one nameless source.
     """
     votes = cut(c.select("group_id", "field", "value", F.coalesce("source", F.lit("")).alias("source")).distinct())
-    w = votes.select("source").distinct()
-    if trust is not None:
-        top = trust.agg(F.max("trust").alias("top"))
-        w = w.join(trust.groupBy("source").agg(F.max("trust").alias("trust")), "source", "left").join(F.broadcast(top)).select("source", F.coalesce(F.col("trust") / F.col("top"), F.lit(0.1)).cast("double").alias("w"))
-    else:
-        w = w.withColumn("w", F.lit(0.5))
-    w = cut(w)
+    w = cut(reliabilities(c, trust, ranked))
     for _ in range(rounds):
-        support = votes.join(w, "source").groupBy("group_id", "field", "value").agg(F.sum("w").alias("s"))
-        total = support.groupBy("group_id", "field").agg(F.sum("s").alias("all"))
-        share = support.join(total, ["group_id", "field"]).select("group_id", "field", "value", (F.col("s") / F.col("all")).alias("share"))
-        new = cut(votes.join(share, ["group_id", "field", "value"]).groupBy("source").agg(((F.sum("share") + 1.0) / (F.count("*") + 2.0)).alias("w2")))
-        moved = w.join(new, "source").agg(F.max(F.abs(F.col("w") - F.col("w2")))).first()[0]
-        w = new.withColumnRenamed("w2", "w")
+        support = _support(votes, w)
+        total = support.groupBy("group_id", "field", "tier").agg(F.sum("s").alias("all")).groupBy("group_id", "field").agg(F.max(F.struct("tier", "all")).alias("k"))
+        share = support.join(total, ["group_id", "field"]).select("group_id", "field", "value", F.when(F.col("tier") == F.col("k.tier"), F.col("s") / F.col("k.all")).otherwise(0.0).alias("share"))
+        mean = votes.join(share, ["group_id", "field", "value"]).groupBy("source").agg(((F.sum("share") + 1.0) / (F.count("*") + 2.0)).alias("w2"))
+        new = cut(w.join(mean, "source"))
+        moved = new.agg(F.max(F.abs(F.col("w") - F.col("w2")))).first()[0]
+        w = new.select("source", "tier", F.col("w2").alias("w"))
         if moved is None or moved <= tolerance:
             break
-    support = votes.join(w, "source").groupBy("group_id", "field", "value").agg(F.sum("w").alias("support"))
-    best = support.groupBy("group_id", "field").agg(F.min(F.struct(-F.round("support", 9), F.col("value"))).alias("k"))
-    return best.select("group_id", "field", F.col("k.value").alias("value"), (-F.col("k.col1")).alias("support"))
+    best = _support(votes, w).groupBy("group_id", "field").agg(F.min(F.struct(-F.col("tier"), -F.round("s", 9), F.col("value"))).alias("k"))
+    return best.select("group_id", "field", F.col("k.value").alias("value"), (-F.col("k.col1")).alias("tier"), (-F.col("k.col2")).alias("support"))
+
+
+def survivors(c: DataFrame, trust: DataFrame, rounds: int = 20) -> DataFrame:
+    """(group_id, field, doc_id, value): ``truth`` with the trusts as tiers, and of the claims in the tier that carries it the latest (without a readable date earliest), then the smallest id.
+
+    ``min`` of a struct is aggregated in each task before the shuffle: a group
+    with a third of all records is no hot spot.
+    """
+    found = truth(c, trust, rounds, ranked=True).select("group_id", "field", "tier")
+    tier = reliabilities(c, trust, True).select("source", "tier")
+    own = c.withColumn("source", F.coalesce("source", F.lit(""))).join(tier, "source").join(found, ["group_id", "field", "tier"], "left_semi")
+    best = own.groupBy("group_id", "field").agg(F.min(F.struct(-F.coalesce(F.col("at"), F.lit(LOWEST)), F.col("doc_id"), F.col("value"))).alias("k"))
+    return best.select("group_id", "field", F.col("k.doc_id").alias("doc_id"), F.col("k.value").alias("value"))

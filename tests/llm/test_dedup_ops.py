@@ -129,11 +129,11 @@ def test_survivors(spark):
     df = spark.createDataFrame(rows, "doc_id string, dup_of string, source string, date string, headline string, city string")
     trust = spark.createDataFrame([("s1", 3), ("s2", 3)], "source string, trust int")
     c = survivor.claims(df, survivor.duplicate_groups(df), ["headline", "city"])
-    got = {(r.group_id, r.field, r.doc_id) for r in survivor.best_by_trust(c, trust).collect()}
+    got = {(r.group_id, r.field, r.doc_id) for r in survivor.survivors(c, trust).collect()}
     assert got == {("a", "headline", "a"), ("e", "headline", "f")} or got == {("a", "headline", "b"), ("e", "headline", "f")}
     # 2026-01-01T20:00Z is 2026-01-02T01:30 in +05:30, i.e. later than a
     assert ("a", "headline", "b") in got
-    assert survivor.best_by_trust(survivor.claims(df.limit(0), survivor.duplicate_groups(df.limit(0)), ["headline"]), trust).count() == 0
+    assert survivor.survivors(survivor.claims(df.limit(0), survivor.duplicate_groups(df.limit(0)), ["headline"]), trust).count() == 0
 
 
 def test_truth_follows_reliable_sources(spark):
@@ -142,6 +142,10 @@ def test_truth_follows_reliable_sources(spark):
     c = spark.createDataFrame(rows, "group_id string, field string, doc_id string, value string, source string, at long")
     got = {r.group_id: r.value for r in survivor.truth(c).collect()}
     assert got["gx"] == "yes" and all(got[f"g{i}"] == f"right{i}" for i in range(12))
+    # as tiers, one more trusted source outweighs the others, and reliabilities are estimated within tiers
+    trust = spark.createDataFrame([("bad", 2), ("good", 1), ("good2", 1)], "source string, trust int")
+    got = {r.group_id: (r.value, r.tier) for r in survivor.truth(c, trust, ranked=True).collect()}
+    assert got["gx"] == ("no", 2) and all(got[f"g{i}"] == (f"wrong{i % 3}", 2) for i in range(12))
 
 
 def test_batches_are_accepted_by_coverage(spark, tmp_path):
