@@ -35,22 +35,33 @@ def long_list(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+#: Codes of counts in one byte: exact to 127, beyond that steps of a fifth of a doubling, to 2**32 and more.
+EXACT, STEPS = 128, 5
+_COUNTS = np.r_[np.arange(EXACT), EXACT * 2.0 ** (np.arange(128) / STEPS)]
+
+
+def code(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte each; larger counts have larger or equal codes."""
+    big = np.minimum(EXACT + STEPS * np.log2(np.maximum(counts, EXACT) / EXACT), 255)
+    return np.where(counts < EXACT, counts, big).astype(np.uint8)
+
+
 def _pieces(cells: np.ndarray, piece: int):
-    small = np.minimum(cells, 255).astype(np.uint8)
+    small = code(cells)
     for k in range(0, len(small), piece):
         yield k, small[k : k + piece].tobytes()
 
 
 def _added(pieces: DataFrame, size: int) -> np.ndarray:
-    """Sum of the pieces (k, cells) on the executors; ``size`` bytes reach the driver."""
+    """Sum of the pieces (k, cells) on the executors, in codes; ``size`` bytes reach the driver."""
 
     def add(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in rows:
             for cells in b.column("cells"):
-                x = np.frombuffer(cells.as_py(), dtype=np.uint8).astype(np.uint32)
-                total = x if total is None else np.minimum(total + x, 255)
-        yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int64()), "cells": pa.array([total.astype(np.uint8).tobytes()], pa.binary())})
+                x = _COUNTS[np.frombuffer(cells.as_py(), dtype=np.uint8)]
+                total = x if total is None else total + x
+        yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int64()), "cells": pa.array([code(total).tobytes()], pa.binary())})
 
     out = np.zeros(size, dtype=np.uint8)
     for row in pieces.groupBy("k").applyInArrow(add, "k long, cells binary").toLocalIterator():
@@ -59,7 +70,7 @@ def _added(pieces: DataFrame, size: int) -> np.ndarray:
 
 
 def merge_counts(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], size: int, piece: int = 1 << 18) -> np.ndarray:
-    """Sum over all batches of ``fn``'s indices counted in ``size`` cells that saturate at 255.
+    """Sum over all batches of ``fn``'s indices counted in ``size`` cells, as codes of one byte.
 
     Every task holds one array and emits it in pieces, which are added on the
     executors. What reaches the driver are ``size`` bytes, whatever the number of rows.

@@ -1,11 +1,12 @@
 """Problem 7: deduplicating new batches against all history.
 
-``seen_before`` is exact: the prefix shingles of every set (see ``neardup``)
-are kept as parquet, partitioned by delivery generation; a batch is joined with
-them, and the pairs that pass the filters, which no pair of the wanted
-similarity fails, are decided on their full sets. ``accept_batch`` works by
-coverage: texts are cut into content-defined chunks (rolling hash over words),
-and a batch is judged by the persistent chunk table alone.
+Texts are cut into content-defined chunks (rolling hash over words); a
+persistent table of chunks and their records gives what a delivery shares with
+each record, and coverage decides. ``seen_before`` finds all deliveries similar
+to an earlier record: what the shared chunks prove is decided by them alone,
+and only deliveries that they leave open are checked exactly (filters of
+``neardup``, then the full sets). ``accept_batch`` judges a batch by the share
+of its bytes in known chunks and appends what it accepts.
 """
 
 from __future__ import annotations
@@ -23,24 +24,8 @@ from siftspark.session import checkpoint_dir, cut
 #: Words on both sides among which a chunk's last word has the smallest rolling hash; chunks have about 2 * RADIUS + 1 words.
 RADIUS = 3
 
-
-def prefix_rows(docs: DataFrame, k: int, t: float, sketch) -> DataFrame:
-    """(tok, cls, n, p, q) of each distinct text of ``docs`` (text): the shingles in the prefix of its set under either global order, and their ranks."""
-
-    def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            for _, w, v, o, cls in neardup.sets_of(batch, "text", k):
-                new = neardup.unseen(cls, w.per_doc > 0, seen)
-                i, d, p, q, n = neardup.prefixes(v, o, sketch.value, t)
-                ok = new[d]
-                i, d, p, q = i[ok], d[ok], p[ok], q[ok]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[i].view(np.int64)), pa.array(cls[d].view(np.int64)), pa.array(n[d].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32))],
-                    ["tok", "cls", "n", "p", "q"],
-                )
-
-    return docs.select("text").mapInArrow(run, "tok long, cls long, n int, p int, q int")
+#: Records of a chunk beyond which it proves nothing: pairs that share only such chunks are left to the exact check.
+COMMON = 64
 
 
 class ChunkTable:
@@ -71,21 +56,61 @@ def seen_before(history: DataFrame, batches: DataFrame, text_col: str, order: li
     h = history.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), (-1 - F.abs(F.xxhash64(text_col) % (1 << 62))).alias("id"))
     n = batches.where(F.col(text_col).isNotNull() & F.col(b).isNotNull() & F.col(s).isNotNull()).select(F.col(text_col).alias("text"), place.alias("id"))
     both = h.union(n)
-    rows, counts = neardup.classes(both, k)
-    rows = rows.distinct()
-    sketch = spark.sparkContext.broadcast(counts)
+
+    def chunks(w, o, keep, new):
+        """Of each text that is new to the task its chunks, their bytes, and how many shingles start in each for the first time."""
+        value, size, doc, start = w.chunks(RADIUS, k - 1)
+        first = np.zeros(len(w.h) + 1, dtype=np.int64)
+        first[w.first[w.first >= 0]] = 1
+        news = np.diff(np.cumsum(np.r_[0, first])[np.r_[start, len(w.h)]])
+        n = np.searchsorted(doc, keep, "right") - np.searchsorted(doc, keep)
+        off = np.r_[0, np.cumsum(np.where(new[keep], n, 0))].astype(np.int32)
+        rows = np.flatnonzero(np.repeat(new[keep], n))
+        return [pa.ListArray.from_arrays(pa.array(off), pa.array(x[rows])) for x in (value.view(np.int64), size.astype(np.int32), news.astype(np.int32))]
+
+    rows, counts = neardup.classes(both, k, chunks, ", chunk array<long>, bytes array<int>, news array<int>")
     table = table or ChunkTable(spark)
-    table.append(prefix_rows(h, k, t, sketch), 0)
-    table.append(prefix_rows(n, k, t, sketch), 1)
+    each = rows.where(F.size("chunk") > 0).select("id", "cls", "n", F.explode(F.arrays_zip("chunk", "bytes", "news")).alias("x")).select("id", "cls", "n", "x.*")
+    # a text may be in several tasks; of a chunk that recurs in a text only the first one has shingles that are new
+    of = lambda old: each.where(F.col("id") < 0 if old else F.col("id") >= 0).groupBy("chunk", "cls").agg(F.first("n").alias("n"), F.max("bytes").alias("bytes"), F.max("news").alias("news"))
+    table.append(of(True), 0)
+    table.append(of(False), 1)
+    members = rows.select("id", "cls").distinct()
     # a set of the history and of a delivery may go by either row: its deliveries are found by the history anyway
-    cand = neardup.candidates(table.read().withColumn("fresh", F.col("generation") == 1), t, fresh="fresh")
-    links = neardup.verified(both, rows, cand, k, t)
-    rows = rows.select("cls", F.greatest("id", F.lit(-1)).alias("at")).distinct()
-    first = rows.groupBy("cls").agg(F.min("at").alias("first"))
+    at = cut(members.select("cls", F.greatest("id", F.lit(-1)).alias("at")).distinct())
+    by_chunks = cut(proven(table.read(), t))
+    open_ = at.where("at >= 0").join(found(at, by_chunks), "at", "left_anti").select("cls").distinct().withColumn("fresh", F.lit(True))
+    sketch = spark.sparkContext.broadcast(counts)
+    posts = neardup.prefix_rows(both, k, t, sketch).join(cut(open_), "cls", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    links = neardup.verified(both, members, neardup.candidates(posts, t, fresh="fresh"), k, t)
+    out = found(at, by_chunks.union(links))
+    return out.select(F.shiftright("at", 32).cast("int").alias(b), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias(s))
+
+
+def proven(chunks: DataFrame, t: float) -> DataFrame:
+    """(a, b): different classes, a of a delivery, whose shared chunks (chunk, cls, n, news, generation) prove a similarity of t or more.
+
+    Shingles that start in a shared chunk are in both sets, and those counted
+    for it start nowhere before; so their sum is at most what the sets have in
+    common. Chunks of more than COMMON records are left out, which can only
+    prove less.
+    """
+    one = chunks.groupBy("chunk", "cls").agg(F.first("n").alias("n"), F.max("news").alias("news"), F.max("generation").alias("generation"))
+    few = one.groupBy("chunk").agg(F.count("*").alias("c")).where((F.col("c") > 1) & (F.col("c") <= COMMON)).select("chunk")
+    one = one.join(few, "chunk", "left_semi")
+    a, b = one.where("generation > 0").alias("a"), one.alias("b")
+    both = a.join(b, (F.col("a.chunk") == F.col("b.chunk")) & (F.col("a.cls") != F.col("b.cls")))
+    sums = both.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.sum("a.news").alias("x"), F.sum("b.news").alias("y"))
+    common = F.greatest("x", "y")
+    return sums.where(common >= F.lit(t) * (F.col("na") + F.col("nb") - common) - F.lit(1e-9)).select("a", "b")
+
+
+def found(at: DataFrame, links: DataFrame) -> DataFrame:
+    """(at): deliveries (cls, at) with a record of their class, or of a linked one, before them."""
+    first = at.groupBy("cls").agg(F.min("at").alias("first"))
     near = links.select("a", "b").union(links.select("b", "a")).toDF("cls", "other")
     near = near.join(first.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.min("first").alias("near"))
-    found = rows.where("at >= 0").join(first, "cls").join(near, "cls", "left").where("first < at or near < at").select("at").distinct()
-    return found.select(F.shiftright("at", 32).cast("int").alias(b), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias(s))
+    return at.where("at >= 0").join(first, "cls").join(near, "cls", "left").where("first < at or near < at").select("at").distinct()
 
 
 def all_chunks(docs: DataFrame) -> DataFrame:
@@ -96,7 +121,7 @@ def all_chunks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for _, w, v, o, cls in neardup.sets_of(batch, "text", 4):
                 new = neardup.unseen(cls, w.per_doc > 0, seen)
-                h, size, d = w.chunks(RADIUS)
+                h, size, d, _ = w.chunks(RADIUS)
                 total = np.bincount(d, weights=size, minlength=len(cls)).astype(np.int64)
                 ok = new[d]
                 h, size, d = h[ok], size[ok], d[ok]
@@ -111,6 +136,25 @@ def all_chunks(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "chunk long, cls long, bytes int, total int")
 
 
+def accept_batches(history: DataFrame, batches: DataFrame, history_id: str, text_col: str, order: list[str], covered: float = 0.8) -> DataFrame:
+    """(batch, seq, share, accepted) of all deliveries: ``accept_batch`` for the history, then for one batch after the other.
+
+    A batch reads its own rows and the chunk table, no text of the history or of
+    an earlier batch. Null batch numbers or places take no part.
+    """
+    b, s = order
+    table = ChunkTable(batches.sparkSession)
+    cut(accept_batch(table, history.select(history_id, text_col), history_id, text_col, 0, covered))
+    rows = batches.where(F.col(b).isNotNull() & F.col(s).isNotNull())
+    out = None
+    for i, r in enumerate(rows.select(b).distinct().orderBy(b).collect(), 1):
+        one = cut(accept_batch(table, rows.where(F.col(b) == r[0]).select(s, text_col), s, text_col, i, covered).withColumn(b, F.lit(r[0])))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return rows.select(b, s, F.lit(0.0).alias("share"), F.lit(False).alias("accepted"))
+    return out.select(b, s, "share", "accepted")
+
+
 def accept_batch(table: ChunkTable, batch: DataFrame, id_col: str, text_col: str, generation: int, covered: float = 0.8) -> DataFrame:
     """(id, share, accepted) for one batch, judged by the chunk table alone; appends the chunks of what is accepted.
 

@@ -21,10 +21,13 @@ from siftspark.llm.base import long_list, merge_counts, rows_and_counts
 from siftspark.operators.graph import connected_components
 from siftspark.session import cut
 
-#: Cells of the corpus-wide count sketch: two rows of 2**21 bytes. A fixed bound of what is broadcast, whatever the input.
-CELLS = 1 << 21
-#: Bits of the candidate bitmap (bytes, as cells): 1 MB.
-FLAGS = 1 << 20
+#: Cells of each of the two rows of the corpus-wide count sketch, and of the candidate bitmap: the power of two over 16 (8) for each document (class), between these bounds. At one byte a cell, 16 and 8 MB are the most that is ever broadcast.
+CELLS = 1 << 21, 1 << 23
+FLAGS = 1 << 20, 1 << 23
+
+
+def cells_for(n: int, bounds: tuple[int, int]) -> int:
+    return min(max(1 << max(0, n - 1).bit_length(), bounds[0]), bounds[1])
 
 
 def sets_of(batch: pa.RecordBatch, column: str, k: int):
@@ -36,9 +39,9 @@ def sets_of(batch: pa.RecordBatch, column: str, k: int):
         yield at, w, v, o, text.set_ids(v, o)
 
 
-def cells(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two cells of each token in the count sketch."""
-    return (text.mix(v, 21) % text.U(CELLS)).astype(np.int64), CELLS + (text.mix(v, 22) % text.U(CELLS)).astype(np.int64)
+def cells(v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two cells of each token in a count sketch of two rows of ``size``."""
+    return (text.mix(v, 21) % text.U(size)).astype(np.int64), size + (text.mix(v, 22) % text.U(size)).astype(np.int64)
 
 
 def unseen(cls: np.ndarray, some: np.ndarray, seen: set) -> np.ndarray:
@@ -51,30 +54,29 @@ def unseen(cls: np.ndarray, some: np.ndarray, seen: set) -> np.ndarray:
     return new
 
 
-def classes(docs: DataFrame, k: int, tokens=None) -> tuple[DataFrame, np.ndarray]:
-    """Members (id, cls) of ``docs`` (id, text), and the count sketch (count-min, two rows) of the tokens of all sets.
+def classes(docs: DataFrame, k: int, more=None, fields: str = "") -> tuple[DataFrame, np.ndarray]:
+    """Members (id, cls, n) of ``docs`` (id, text), n being the size of the set, and the count sketch (count-min, two rows) of the tokens of all sets.
 
     One pass over the texts. Equal texts within a task count once in the sketch.
-    ``tokens(words, values, offsets)`` gives (tokens, index of their text);
-    default are the shingles themselves.
+    ``more(words, offsets, keep)`` gives further columns ``fields``.
     """
-    tokens = tokens or (lambda w, v, o: (v, np.repeat(np.arange(len(o) - 1), np.diff(o))))
+    size = cells_for(16 * docs.count(), CELLS)
 
     def one(batch, seen):
         ids = batch.column("id")
         for at, w, v, o, cls in sets_of(batch, "text", k):
             some = w.per_doc > 0
             new = unseen(cls, some, seen)
-            x, d = tokens(w, v, o)
             keep = np.flatnonzero(some)
-            yield [ids.take(pa.array(keep + at)), pa.array(cls[keep].view(np.int64))], np.concatenate(cells(x[new[d]]))
+            fresh = v[np.repeat(new, np.diff(o))]
+            yield [ids.take(pa.array(keep + at)), pa.array(cls[keep].view(np.int64)), pa.array(np.diff(o)[keep].astype(np.int32)), *(more(w, o, keep, new) if more else [])], np.concatenate(cells(fresh, size))
 
-    return rows_and_counts(docs, one, f"id {dict(docs.dtypes)['id']}, cls long", 2 * CELLS)
+    return rows_and_counts(docs, one, f"id {dict(docs.dtypes)['id']}, cls long, n int" + fields, 2 * size)
 
 
 def count_of(sketch: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Upper bound (exact if 1) of the number of sets with each token."""
-    a, b = cells(v)
+    """Code of an upper bound of the number of sets with each token (exact if 1)."""
+    a, b = cells(v, len(sketch) // 2)
     return np.minimum(sketch[a], sketch[b])
 
 
@@ -82,7 +84,7 @@ def order_key(counts: np.ndarray, v: np.ndarray, order: int) -> np.ndarray:
     """Sort key of each token in one of the two global orders; smaller is earlier."""
     if order == 0:
         return (counts.astype(text.U) << text.U(48)) | (text.mix(v, 31) >> text.U(16))
-    level = np.log2(counts.astype(np.float64) + 1).astype(text.U)
+    level = np.where(counts < 128, np.log2(counts.astype(np.float64) + 1), 7 + (counts.astype(np.float64) - 128) / 5).astype(text.U)
     return (level << text.U(56)) | (text.mix(v, 32) >> text.U(8))
 
 
@@ -112,6 +114,25 @@ def prefixes(v: np.ndarray, o: np.ndarray, sketch: np.ndarray, t: float):
     return i, doc[i], np.where(in0[i], p0[i], -1), np.where(in1[i], p1[i], -1), n
 
 
+def prefix_rows(docs: DataFrame, k: int, t: float, sketch) -> DataFrame:
+    """(tok, cls, n, p, q) of each distinct text of ``docs`` (text): the shingles in the prefix of its set under either global order, and their ranks."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for _, w, v, o, cls in sets_of(batch, "text", k):
+                new = unseen(cls, w.per_doc > 0, seen)
+                i, d, p, q, n = prefixes(v, o, sketch.value, t)
+                ok = new[d]
+                i, d, p, q = i[ok], d[ok], p[ok], q[ok]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v[i].view(np.int64)), pa.array(cls[d].view(np.int64)), pa.array(n[d].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32))],
+                    ["tok", "cls", "n", "p", "q"],
+                )
+
+    return docs.select("text").mapInArrow(run, "tok long, cls long, n int, p int, q int")
+
+
 def near_pairs(df: DataFrame, id_col: str, column: str, k: int = 5, t: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(members, links) of near-duplicate classes.
 
@@ -123,22 +144,10 @@ def near_pairs(df: DataFrame, id_col: str, column: str, k: int = 5, t: float = 0
     """
     docs = df.where(F.col(column).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(column).alias("text"))
     members, counts = classes(docs, k)
+    members = members.select("id", "cls")
     sketch = df.sparkSession.sparkContext.broadcast(counts)
 
-    def posting(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            for _, w, v, o, cls in sets_of(batch, "text", k):
-                new = unseen(cls, w.per_doc > 0, seen)
-                i, d, p0, p1, n = prefixes(v, o, sketch.value, t)
-                ok = new[d]
-                i, d, p0, p1 = i[ok], d[ok], p0[ok], p1[ok]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v[i].view(np.int64)), pa.array(cls[d].view(np.int64)), pa.array(n[d].astype(np.int32)), pa.array(p0.astype(np.int32)), pa.array(p1.astype(np.int32))],
-                    ["tok", "cls", "n", "p", "q"],
-                )
-
-    posts = docs.select("text").mapInArrow(posting, "tok long, cls long, n int, p int, q int")
+    posts = prefix_rows(docs, k, t, sketch)
     members = members.distinct()
     return members, verified(docs, members, candidates(posts, t), k, t)
 
@@ -151,7 +160,7 @@ def candidates(posts: DataFrame, t: float, depth: int = 4, fresh: str | None = N
     prefixes. e is at most ``depth``: hits beyond that rank are dropped at once,
     and fewer hits than e + 1 drop the pair.
     """
-    posts = posts.repartition("tok").dropDuplicates(["tok", "cls"])
+    posts = posts.dropDuplicates(["tok", "cls"])
     a, b = posts.alias("a"), posts.alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
     need = F.ceil(t / (1 + t) * (na + nb) - F.lit(1e-9))
@@ -169,13 +178,14 @@ def verified(docs: DataFrame, members: DataFrame, cand: DataFrame, k: int, t: fl
     """Candidate pairs whose sets have similarity t or more.
 
     Only texts of one member of each candidate class are made into sets again;
-    they are known by a bitmap of fixed size over hashes of their ids, whose
+    they are known by a bitmap of bounded size over hashes of their ids, whose
     false hits cost time but change nothing.
     """
     cand = cut(cand)
     each = cand.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    one = members.join(each, "cls").groupBy("cls").agg(F.min("id").alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(FLAGS)).alias("i"))
-    flags = docs.sparkSession.sparkContext.broadcast(merge_counts(one, lambda b: b.column("i").to_numpy(), FLAGS))
+    size = cells_for(8 * each.count(), FLAGS)
+    one = members.join(each, "cls").groupBy("cls").agg(F.min("id").alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(size)).alias("i"))
+    flags = docs.sparkSession.sparkContext.broadcast(merge_counts(one, lambda b: b.column("i").to_numpy(), size))
 
     def tokens(batches):
         seen: set[int] = set()
@@ -188,7 +198,7 @@ def verified(docs: DataFrame, members: DataFrame, cand: DataFrame, k: int, t: fl
                 new = np.flatnonzero(unseen(cls, w.per_doc > 0, seen))
                 yield pa.RecordBatch.from_arrays([pa.array(cls[new].view(np.int64)), long_list(v, o).take(pa.array(new))], ["cls", "toks"])
 
-    marked = docs.select(F.pmod(F.xxhash64("id"), F.lit(FLAGS)).alias("i"), "text")
+    marked = docs.select(F.pmod(F.xxhash64("id"), F.lit(size)).alias("i"), "text")
     sets = marked.mapInArrow(tokens, "cls long, toks array<long>")
     both = cand.join(sets.select(F.col("cls").alias("a"), F.col("toks").alias("ta")), "a").join(sets.select(F.col("cls").alias("b"), F.col("toks").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))

@@ -99,6 +99,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return seen_before(table(spark, d, "articles"), table(spark, d, "incoming"), "body", ["batch_no", "seq"], k=4, t=0.7)
 
 
+def p7_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """Batches judged one after the other by the chunk table alone, which starts with the articles; what is accepted is appended."""
+    from siftspark.llm.history import accept_batches
+
+    return accept_batches(table(spark, d, "articles"), table(spark, d, "incoming"), "doc_id", "body", ["batch_no", "seq"])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from siftspark.llm.bpe import encode_column
 

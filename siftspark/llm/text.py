@@ -133,7 +133,7 @@ class Words:
         self.per_doc = np.bincount(self.doc, minlength=self.count)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(values, offsets): the sorted distinct k-word shingle hashes of every text; a shorter text is one shingle."""
+        """(values, offsets): the sorted distinct k-word shingle hashes of every text; a shorter text is one shingle. ``first``: the word at which each of them starts for the first time, -1 for the shingle of a shorter text."""
         h, doc = self.h, self.doc
         with np.errstate(over="ignore"):
             if len(h) >= k:
@@ -141,30 +141,34 @@ class Words:
                 for i in range(k):
                     g += h[i : len(h) - k + 1 + i] * _LANES[i]
                 ok = doc[: len(g)] == doc[k - 1 :]
-                v, d = mix(g[ok]), doc[: len(g)][ok]
+                v, d, at = mix(g[ok]), doc[: len(g)][ok], np.flatnonzero(ok)
             else:
-                v, d = np.zeros(0, dtype=U), np.zeros(0, dtype=doc.dtype)
+                v, d, at = np.zeros(0, dtype=U), np.zeros(0, dtype=doc.dtype), np.zeros(0, dtype=np.int64)
             short = np.flatnonzero((self.per_doc > 0) & (self.per_doc < k))
             if len(short):
                 first = np.searchsorted(doc, short)
                 whole = [int(mix(np.array([sum(int(h[f + i]) * int(_LANES[i]) for i in range(self.per_doc[s])) + int(self.per_doc[s]) & 0xFFFFFFFFFFFFFFFF], dtype=U))[0]) for s, f in zip(short, first)]
-                v, d = np.r_[v, np.array(whole, dtype=U)], np.r_[d, short]
+                v, d, at = np.r_[v, np.array(whole, dtype=U)], np.r_[d, short], np.r_[at, np.full(len(short), -1)]
         o = np.lexsort((v, d))
-        v, d = v[o], d[o]
+        v, d, at = v[o], d[o], at[o]
         if len(v):
             new = np.r_[True, (v[1:] != v[:-1]) | (d[1:] != d[:-1])]
-            v, d = v[new], d[new]
+            v, d, at = v[new], d[new], at[new]
+        self.first = at
         return v, np.searchsorted(d, np.arange(self.count + 1))
 
-    def chunks(self, radius: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, bytes, doc) of content-defined chunks.
+    def chunks(self, radius: int = 2, ahead: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, bytes, doc, start) of content-defined chunks.
 
         A chunk ends at a word where the rolling hash of the last two words is the
         smallest within ``radius`` words on both sides, or at the end of the text.
+        Its hash is over its own words and the ``ahead`` words after it, if there
+        are so many: equal chunks then have equal shingles of ``ahead`` + 1 words
+        starting in them.
         """
         h, doc = self.h, self.doc
         if not len(h):
-            return h, self.size, doc
+            return h, self.size, doc, np.zeros(0, dtype=np.int64)
         with np.errstate(over="ignore"):
             roll = mix(h * _LANES[0] + np.r_[U(0), np.where(doc[1:] == doc[:-1], h[:-1], U(0))] * _LANES[1], 5)
         cut = np.ones(len(h), dtype=bool)
@@ -175,12 +179,13 @@ class Words:
         cut |= np.r_[doc[1:] != doc[:-1], True]
         end = np.flatnonzero(cut) + 1
         start = np.r_[0, end[:-1]]
+        stop = np.minimum(end + ahead, np.searchsorted(doc, doc[start], "right"))
         _powers(len(h) + 2)
         with np.errstate(over="ignore"):
             total = np.cumsum(np.r_[U(0), h * _POW[: len(h)]], dtype=U)
-            value = mix((total[end] - total[start]) * _INV[start], 11)
+            value = mix((total[stop] - total[start]) * _INV[start] + (end - start).astype(U) * _LANES[2] + (stop - end).astype(U) * _LANES[3], 11)
         size = np.cumsum(np.r_[0, self.size])
-        return value, size[end] - size[start], doc[start]
+        return value, size[end] - size[start], doc[start], start
 
 
 def blocks(texts: list[str], limit: int = BLOCK):

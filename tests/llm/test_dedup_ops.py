@@ -206,3 +206,43 @@ def test_an_id_with_several_texts_counts_once(spark):
     assert site_lines.repeated_lines(df, min_docs=7).count() == 0
     got = {tuple(r) for r in site_lines.repeated_lines(df, min_docs=6).collect()}
     assert got == {(f"d{i}", 1) for i in range(6)} | {("d1", 2)}
+
+
+def test_counts_in_one_byte():
+    import numpy as np
+
+    from siftspark.llm import base
+
+    x = np.array([0, 1, 127, 128, 1000, 10**6, 2**31, 2**33])
+    c = base.code(x)
+    assert (np.diff(c.astype(int)) > 0).all() or c[-1] == 255
+    assert (np.abs(base._COUNTS[c][:7] - x[:7]) <= 0.15 * x[:7]).all()
+
+
+def test_shared_chunks_prove_no_more_than_is_common(spark, tmp_path):
+    r = random.Random(21)
+    base_ = [f"w{r.randint(0, 300)}" for _ in range(120)]
+    texts = []
+    for _ in range(40):
+        x = list(base_)
+        for _ in range(r.randint(0, 6)):
+            x[r.randrange(len(x))] = f"w{r.randint(0, 300)}"
+        texts.append(" ".join(x + x[: r.randint(0, 40)]))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "seq int, body string").withColumn("batch_no", F.lit(1)).repartition(5)
+    table = history.ChunkTable(spark, str(tmp_path / "t"))
+    history.seen_before(df.limit(0), df, "body", ["batch_no", "seq"], 4, 0.7, table).collect()
+    w = text.Words(texts)
+    v, o = w.shingles(4)
+    sets = {int(c) - (1 << 64) if int(c) >= 1 << 63 else int(c): set(v[o[i] : o[i + 1]].tolist()) for i, c in enumerate(text.set_ids(v, o))}
+    got = history.proven(table.read(), 0.7).collect()
+    assert got and all(len(sets[x.a] & sets[x.b]) >= 0.7 * len(sets[x.a] | sets[x.b]) for x in got)
+
+
+def test_batches_one_by_one(spark):
+    r = random.Random(4)
+    text_ = lambda n: " ".join(f"w{r.randint(0, 9999)}" for _ in range(n))
+    a, b, c = text_(60), text_(60), text_(60)
+    h = spark.createDataFrame([("x", a), ("y", None)], "doc_id string, body string")
+    rows = [(1, 0, a), (1, 1, b), (1, 2, b), (2, 0, b), (2, 1, c), (2, 2, None), (None, 3, c)]
+    got = {(x.batch_no, x.seq): x.accepted for x in history.accept_batches(h, spark.createDataFrame(rows, "batch_no int, seq int, body string"), "doc_id", "body", ["batch_no", "seq"]).collect()}
+    assert got == {(1, 0): False, (1, 1): True, (1, 2): False, (2, 0): False, (2, 1): True, (2, 2): False}
