@@ -24,6 +24,12 @@ def p1_main(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("doc_id", F.col("headline_main").alias("headline"), F.col("body_main").alias("body")).distinct()
 
 
+def p1_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    from siftspark.llm.wrapper import expressions
+
+    return expressions(table(spark, d, "page_texts"), table(spark, d, "sources"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from siftspark.llm.confusables import look_alikes
 

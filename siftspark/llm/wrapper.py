@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -29,7 +29,7 @@ BLOCK = 256
 FAN = 32
 #: Pages on which a line is a constant, share of its places inside the prose from which a constant is a subhead, places from which that share is trusted.
 RECURS, INSIDE, TRUSTED = 3, 0.975, 12
-PROSE, ITEM, TITLE = "P", "L", "T"
+PROSE, ITEM, TITLE = SLOTS = "P", "L", "T"
 _DIGITS = re.compile(r"[0-9०-९]+")
 _SPACE = re.compile(r"\s+")
 _STOP = re.compile(r"(?<=[।.?!])[\"'”’)\]]*\s+")
@@ -95,7 +95,7 @@ class Wrapper:
         """Align a stream (or the nodes of another wrapper) with the expression."""
         run, ins, cnt, rep = [], [], [], []
         for i, t in enumerate(tokens):
-            if run and t == run[-1] and t in (PROSE, ITEM, TITLE):
+            if run and t == run[-1] and t in SLOTS:
                 rep[-1] = True
                 cnt[-1] += counts[i] if counts else 1
                 ins[-1] += inside[i]
@@ -120,16 +120,16 @@ class Wrapper:
                 n[4] |= rep[j]
                 out.append(n)
                 last = i + 1
-            elif t in at and t not in (PROSE, ITEM, TITLE):  # a block that moved: its node stays where it is and is optional
+            elif t in at and t not in SLOTS:  # a block that moved: its node stays where it is and is optional
                 n = at[t]
                 n[1] += cnt[j]
                 n[2] += ins[j]
                 n[3] = True
-            elif t in (PROSE, ITEM, TITLE) and out and out[-1][0] == t:
+            elif t in SLOTS and out and out[-1][0] == t:
                 out[-1][1] += cnt[j]
                 out[-1][2] += ins[j]
                 out[-1][4] = True
-            elif t in (PROSE, ITEM, TITLE) and sum(n[0] == t for n in out) + sum(n[0] == t for n in self.nodes[last:]) >= 8:
+            elif t in SLOTS and sum(n[0] == t for n in out) + sum(n[0] == t for n in self.nodes[last:]) >= 8:
                 n = next(n for n in [*out, *self.nodes[last:]] if n[0] == t)
                 n[1] += cnt[j]
                 n[2] += ins[j]
@@ -149,7 +149,7 @@ class Wrapper:
             if out and out[-1][0] == n[0]:
                 o = out[-1]
                 o[1], o[2], o[3], o[4] = o[1] + n[1], o[2] + n[2], o[3] and n[3], True
-            elif n[0] in seen and n[0] not in (PROSE, ITEM, TITLE):
+            elif n[0] in seen and n[0] not in SLOTS:
                 o = seen[n[0]]
                 o[1], o[2], o[3] = o[1] + n[1], o[2] + n[2], True
             else:
@@ -159,26 +159,34 @@ class Wrapper:
 
     @staticmethod
     def _common(a: list, b: list) -> list[tuple[int, int]]:
-        """Longest common subsequence as index pairs; whole rows at a time."""
-        if not a or not b:
-            return []
-        ids: dict = {}
-        x = np.array([ids.setdefault(t, len(ids)) for t in a])
-        y = np.array([ids.setdefault(t, len(ids)) for t in b])
-        table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-        for i in range(len(a)):
-            best = np.maximum(table[i, 1:], table[i, :-1] + (y == x[i]))
-            table[i + 1, 1:] = np.maximum.accumulate(best)
-        i, j, out = len(a), len(b), []
-        while i and j:
-            if x[i - 1] == y[j - 1] and table[i, j] == table[i - 1, j - 1] + 1:
-                out.append((i - 1, j - 1))
-                i, j = i - 1, j - 1
-            elif table[i - 1, j] >= table[i, j - 1]:
-                i -= 1
-            else:
-                j -= 1
-        return out[::-1]
+        """Index pairs of an order-keeping match: constants, which stand once in ``a``, along their longest rising run; slots in order between them."""
+        where = {t: i for i, t in enumerate(a) if t not in SLOTS}
+        ends, last, before = [], [], {}
+        for j, t in enumerate(b):
+            if t in where:
+                i = where[t]
+                k = bisect_left(ends, i)
+                if k == len(ends):
+                    ends.append(i), last.append(j)
+                else:
+                    ends[k], last[k] = i, j
+                before[j] = last[k - 1] if k else None
+        run, j = [], last[-1] if last else None
+        while j is not None:
+            run.append((where[b[j]], j))
+            j = before[j]
+        out, i, j = [], 0, 0
+        for x, y in [*run[::-1], (len(a), len(b))]:
+            for n in range(j, y):
+                if b[n] in SLOTS:
+                    at = next((m for m in range(i, x) if a[m] == b[n]), None)
+                    if at is not None:
+                        out.append((at, n))
+                        i = at + 1
+            if x < len(a):
+                out.append((x, y))
+            i, j = x + 1, y + 1
+        return out
 
 
 def page_lines(df: DataFrame) -> DataFrame:
@@ -247,8 +255,12 @@ def tokens_of(keys: list, parts: list, shapes: list, known: set) -> tuple[list,
     return out, [bool(prose) and prose[0] < i < prose[-1] for i in range(len(out))]
 
 
-def infer(pages: DataFrame) -> DataFrame:
-    """(host, nodes): nodes of the wrapper of each block of pages of a host, merged until each host has one row."""
+def infer(pages: DataFrame, merge: bool = False) -> DataFrame:
+    """(host, block, pages, tokens, n, inside, optional, repeated): the wrapper of each block of pages of a host; with ``merge`` they are merged until each host has one.
+
+    A block is one task's work, so a host of a third of all pages is spread. The
+    counts of a host's nodes are the same merged or not.
+    """
     size = pages.groupBy("host").agg(F.count("*").alias("size"))
     blocks = pages.join(size, "host").withColumn("block", F.pmod(F.xxhash64("page"), F.ceil(F.col("size") / BLOCK).cast("long")))
     schema = "host string, block long, pages long, tokens array<string>, n array<long>, inside array<long>, optional array<boolean>, repeated array<boolean>"
@@ -268,10 +280,12 @@ def infer(pages: DataFrame) -> DataFrame:
     def join(key, pdf: pd.DataFrame) -> pd.DataFrame:
         w = Wrapper()
         for r in pdf.sort_values("block").itertuples():
-            w.add([t if t in (PROSE, ITEM, TITLE) else int(t) for t in r.tokens], list(r.inside), list(r.n), r.pages)
+            w.add([t if t in SLOTS else int(t) for t in r.tokens], list(r.inside), list(r.n), r.pages)
         return row(key[0], key[1], w)
 
     out = cut(blocks.select("host", "block", "page", "keys", "part", "shapes", "known").groupBy("host", "block").applyInPandas(build, schema))
+    if not merge:
+        return out
     most = out.agg(F.max("block")).first()[0] or 0
     while most > 0:
         out = cut(out.withColumn("to", F.floor(F.col("block") / FAN)).groupBy("host", "to").applyInPandas(join, schema))
@@ -325,14 +339,8 @@ def judge(line_text: list[str], keys, parts, shapes, known: set, places: dict) -
     return story
 
 
-def boilerplate(df: DataFrame, sites: DataFrame | None = None) -> DataFrame:
-    """One row per distinct page: (doc_id, headline, body, lines, body_main, headline_main).
-
-    lines: numbers (from 1, blank lines count) of non-blank lines that are not
-    the story's own, with 0 if the headline holds a site's name beside the
-    title. Null bodies have no lines; a null headline is no case. ``sites``
-    (host, title) names sites; without a row a site is known by its host only.
-    """
+def prepared(df: DataFrame, sites: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(pages, known): distinct pages with the keys of their lines, and which of these are constants."""
     base = df.select("doc_id", "url", "source", "headline", "body").where("doc_id is not null").distinct()
     host = F.regexp_replace(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), r"^(www|m|amp)\.", "")
     base = base.withColumn("host", F.coalesce(F.nullif(host, F.lit("")), F.col("source"), F.lit("")))
@@ -345,6 +353,25 @@ def boilerplate(df: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     pages = cut(page_lines(base.select("page", "doc_id", "host", "title", "headline", "body")))
     known = streams(pages, cut(constants(pages)))
     known = cut(known.select("page", "host", "keys", "part", "shapes", "known"))
+    return pages, known
+
+
+def expressions(df: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """(host, pages, expression): the union-free expression of each host: constants by their hash, slots, ? for optional and + for repeated nodes."""
+    node = lambda x: F.concat(x["tokens"], F.when(x["optional"], "?").otherwise(""), F.when(x["repeated"], "+").otherwise(""))
+    w = infer(prepared(df, sites)[1], merge=True)
+    return w.select("host", "pages", F.concat_ws(" ", F.transform(F.arrays_zip("tokens", "optional", "repeated"), node)).alias("expression"))
+
+
+def boilerplate(df: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """One row per distinct page: (doc_id, headline, body, lines, body_main, headline_main).
+
+    lines: numbers (from 1, blank lines count) of non-blank lines that are not
+    the story's own, with 0 if the headline holds a site's name beside the
+    title. Null bodies have no lines; a null headline is no case. ``sites``
+    (host, title) names sites; without a row a site is known by its host only.
+    """
+    pages, known = prepared(df, sites)
     places = verdicts(infer(known))
     hit = known.select("page", "host", F.explode("keys").alias("key")).where("key <> 0").distinct().join(places, ["host", "key"]).groupBy("page").agg(F.collect_list(F.struct("key", "n", "inside")).alias("places"))
     named = pages.select("page", "host", F.explode("segs").alias("seg")).join(site_names(pages), ["seg", "host"], "left_semi").select("page").distinct().withColumn("named", F.lit(True))
