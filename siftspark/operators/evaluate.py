@@ -103,6 +103,15 @@ def overlap(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     return every.join(x, "qid", "left").select("qid", (F.coalesce("c", F.lit(0)) / k).alias("overlap"))
 
 
+def cross_form(run: DataFrame, forms: DataFrame, k: int = 10, reference: str = "hindi") -> DataFrame:
+    """(form, overlap, queries): mean share of the k best that a query has in common with the ``reference`` form of its need; forms: (qid, form, need). Needs whose reference finds nothing are left out."""
+    x = run.where(F.col("rank") <= k).select("qid", "doc_id").join(forms, "qid")
+    ref = x.where(F.col("form") == reference).select("need", F.col("qid").alias("ref"), "doc_id")
+    pairs = x.where(F.col("form") != reference).select("qid", "form", "need").distinct().join(ref.select("need", "ref").distinct(), "need")
+    same = x.join(ref, ["need", "doc_id"]).groupBy("qid", "ref").agg(F.count("*").alias("c"))
+    return pairs.join(same, ["qid", "ref"], "left").groupBy("form").agg(F.avg(F.coalesce("c", F.lit(0)) / k).alias("overlap"), F.count("*").alias("queries"))
+
+
 def kendall(a: DataFrame, b: DataFrame) -> DataFrame:
     """(qid, tau): rank correlation over shared documents; null for fewer than two. Result lists are bounded by their k."""
     s = a.select("qid", "doc_id", F.col("rank").alias("ra")).join(b.select("qid", "doc_id", F.col("rank").alias("rb")), ["qid", "doc_id"])

@@ -43,6 +43,18 @@ def and_search(post: DataFrame, q: DataFrame, zone: str | None = None, at_least:
     return got.where(F.col("m") >= (F.col("n") if at_least is None else at_least)).select("qid", "doc_id")
 
 
+def search_query(index, queries: DataFrame, mode: str | None = None, zone: str = "body") -> DataFrame:
+    """(qid, doc_id) of ``and_search`` in one zone for queries (qid, query), analysed in the index's mode; an unknown mode or zone, or a mode other than the index's, is an error."""
+    mode = index.mode if mode is None else mode
+    if mode not in X.MODES:
+        raise ValueError(f"unknown mode {mode!r}; one of {', '.join(X.MODES)}")
+    if mode != index.mode:
+        raise ValueError(f"mode {mode!r} of the query is not mode {index.mode!r} of the index")
+    if zone not in ("headline", "body"):
+        raise ValueError(f"unknown zone {zone!r}")
+    return and_search(index.post, query_words(queries, mode), zone)
+
+
 def phrase_search(post: DataFrame, q: DataFrame, zone: str | None = None) -> DataFrame:
     """(qid, doc_id) of documents with the terms side by side, in order, in one zone; a term may recur in a phrase."""
     need = q.groupBy("qid").agg(F.countDistinct("idx").alias("n"))

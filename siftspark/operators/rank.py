@@ -337,3 +337,41 @@ def difficulty(q: DataFrame, index: Index, ranked: DataFrame, strong: float = 0.
     out = q.select("qid").distinct().join(spec, "qid", "left").join(touched, "qid", "left").join(clar, "qid", "left")
     fill = lambda c: F.coalesce(c, F.lit(0.0))
     return out.select("qid", fill("specificity").alias("specificity"), fill("scope").alias("scope"), fill("clarity").alias("clarity"), (fill("specificity") < threshold).alias("low_confidence"))
+
+
+def explain_query(q: DataFrame, index: Index) -> DataFrame:
+    """(qid, term, qtf, df, idf, weight) of a query's terms; df 0 and nulls for terms that are not in the index."""
+    x = query_tf(q).join(index.terms.select("term", "df", "idf"), "term", "left")
+    return x.join(query_vector(q, index).withColumnRenamed("w", "weight"), ["qid", "term"], "left").select("qid", "term", "qtf", F.coalesce("df", F.lit(0)).alias("df"), "idf", "weight")
+
+
+def _matched(index: Index, ranked: DataFrame, words: DataFrame) -> DataFrame:
+    """Results (qid, doc_id, rank) with each term of ``words`` (qid, term, ..) that they hold, and its tf."""
+    post = index.post.join(small(words.select("term").distinct()), "term", "left_semi").join(small(ranked.select("doc_id").distinct()), "doc_id", "left_semi")
+    return ranked.select("qid", "doc_id", "rank").join(post.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")), "doc_id").join(words, ["qid", "term"]).join(index.stats, "doc_id")
+
+
+def explain_bm25(q: DataFrame, index: Index, ranked: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, rank, doc_id, term, tf, df, idf, part): what each term gives to the score of each result."""
+    t = query_tf(q).join(index.terms.select("term", "df"), "term")
+    avg = index.stats.agg(F.sum("len").alias("total")).join(index.n).select((F.col("total") / F.col("n")).alias("avgdl"), "n")
+    x = _matched(index, ranked, t).join(F.broadcast(avg)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    return x.select("qid", "rank", "doc_id", "term", "tf", "df", "idf", part.alias("part"))
+
+
+def explain_cosine(q: DataFrame, index: Index, ranked: DataFrame) -> DataFrame:
+    """(qid, rank, doc_id, term, tf, weight, part): what each term gives to the cosine of each result."""
+    x = _matched(index, ranked, query_vector(q, index))
+    return x.select("qid", "rank", "doc_id", "term", "tf", F.col("w").alias("weight"), (F.col("w") * (1 + F.log10("tf")) / F.col("norm")).alias("part"))
+
+
+def explain_stages(stages: dict[str, DataFrame]) -> DataFrame:
+    """(qid, stage, docs, fresh, so_far) of stages (qid, doc_id) from the strictest on: their documents, those that no stricter one has, and all up to them."""
+    every = None
+    for i, (name, x) in enumerate(stages.items()):
+        row = x.select("qid", "doc_id", F.lit(i).alias("i"), F.lit(name).alias("stage"))
+        every = row if every is None else every.unionByName(row)
+    first = every.groupBy("qid", "doc_id").agg(F.min("i").alias("i")).groupBy("qid", "i").agg(F.count("*").alias("fresh"))
+    x = every.groupBy("qid", "i", "stage").agg(F.count("*").alias("docs")).join(first, ["qid", "i"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
+    return x.select("qid", "stage", "docs", "fresh", F.sum("fresh").over(W.partitionBy("qid").orderBy("i")).alias("so_far"))

@@ -1057,8 +1057,12 @@ def _ready(f):
 
 
 def queries() -> dict:
+    from siftspark.plans import experiments  # noqa: F401 - registers its queries
+
     return {k: _ready(f) for k, f in _REG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from siftspark.plans import experiments  # noqa: F401
+
     return dict(_SQL)
