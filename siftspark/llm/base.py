@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,7 +50,7 @@ def code(counts: np.ndarray) -> np.ndarray:
 def _pieces(cells: np.ndarray, piece: int):
     small = code(cells)
     for k in range(0, len(small), piece):
-        yield k, small[k : k + piece].tobytes()
+        yield k, zlib.compress(small[k : k + piece].tobytes(), 1)
 
 
 def _added(pieces: DataFrame, size: int) -> np.ndarray:
@@ -59,13 +60,14 @@ def _added(pieces: DataFrame, size: int) -> np.ndarray:
         total = None
         for b in rows:
             for cells in b.column("cells"):
-                x = _COUNTS[np.frombuffer(cells.as_py(), dtype=np.uint8)]
+                x = _COUNTS[np.frombuffer(zlib.decompress(cells.as_py()), dtype=np.uint8)]
                 total = x if total is None else total + x
-        yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int64()), "cells": pa.array([code(total).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"k": pa.array([key[0].as_py()], pa.int64()), "cells": pa.array([zlib.compress(code(total).tobytes(), 1)], pa.binary())})
 
     out = np.zeros(size, dtype=np.uint8)
     for row in pieces.groupBy("k").applyInArrow(add, "k long, cells binary").toLocalIterator():
-        out[row.k : row.k + len(row.cells)] = np.frombuffer(row.cells, dtype=np.uint8)
+        cells = np.frombuffer(zlib.decompress(row.cells), dtype=np.uint8)
+        out[row.k : row.k + len(cells)] = cells
     return out
 
 

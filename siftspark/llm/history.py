@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm import neardup
+from siftspark.llm import neardup, text
+from siftspark.llm.base import merge_counts
 from siftspark.session import checkpoint_dir, cut
 
 #: Words on both sides among which a chunk's last word has the smallest rolling hash; chunks have about 2 * RADIUS + 1 words.
@@ -58,47 +59,66 @@ def seen_before(history: DataFrame, batches: DataFrame, text_col: str, order: li
     both = h.union(n)
 
     def chunks(w, o, keep, new):
-        """Of each text that is new to the task its chunks, their bytes, and how many shingles start in each for the first time."""
-        value, size, doc, start = w.chunks(RADIUS, k - 1)
+        """Of each text that is new to the task its chunks, and how many shingles start in each for the first time."""
+        value, _, doc, start = w.chunks(RADIUS, k - 1)
         first = np.zeros(len(w.h) + 1, dtype=np.int64)
         first[w.first[w.first >= 0]] = 1
         news = np.diff(np.cumsum(np.r_[0, first])[np.r_[start, len(w.h)]])
         n = np.searchsorted(doc, keep, "right") - np.searchsorted(doc, keep)
         off = np.r_[0, np.cumsum(np.where(new[keep], n, 0))].astype(np.int32)
         rows = np.flatnonzero(np.repeat(new[keep], n))
-        return [pa.ListArray.from_arrays(pa.array(off), pa.array(x[rows])) for x in (value.view(np.int64), size.astype(np.int32), news.astype(np.int32))]
+        return [pa.ListArray.from_arrays(pa.array(off), pa.array(x[rows])) for x in (value.view(np.int64), np.minimum(news, 32767).astype(np.int16))]
 
-    rows, counts = neardup.classes(both, k, chunks, ", chunk array<long>, bytes array<int>, news array<int>")
+    rows, counts = neardup.classes(both, k, chunks, ", chunk array<long>, news array<short>")
     table = table or ChunkTable(spark)
-    each = rows.where(F.size("chunk") > 0).select("id", "cls", "n", F.explode(F.arrays_zip("chunk", "bytes", "news")).alias("x")).select("id", "cls", "n", "x.*")
-    # a text may be in several tasks; of a chunk that recurs in a text only the first one has shingles that are new
-    of = lambda old: each.where(F.col("id") < 0 if old else F.col("id") >= 0).groupBy("chunk", "cls").agg(F.first("n").alias("n"), F.max("bytes").alias("bytes"), F.max("news").alias("news"))
-    table.append(of(True), 0)
-    table.append(of(False), 1)
+    each = rows.where(F.size("chunk") > 0).select("cls", "n", "chunk", "news", "id")
+    table.append(each.where("id < 0").drop("id"), 0)
+    table.append(each.where("id >= 0").drop("id"), 1)
     members = rows.select("id", "cls").distinct()
     # a set of the history and of a delivery may go by either row: its deliveries are found by the history anyway
     at = cut(members.select("cls", F.greatest("id", F.lit(-1)).alias("at")).distinct())
     by_chunks = cut(proven(table.read(), t))
     open_ = at.where("at >= 0").join(found(at, by_chunks), "at", "left_anti").select("cls").distinct().withColumn("fresh", F.lit(True))
     sketch = spark.sparkContext.broadcast(counts)
-    posts = neardup.prefix_rows(both, k, t, sketch).join(cut(open_), "cls", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    # a class of the history decides its deliveries, so only deliveries are open
+    new = neardup.prefix_rows(n, k, t, sketch).join(cut(open_), "cls", "left").select("tok", "cls", "n", "p", "q", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+    posts = neardup.prefix_rows(h, k, t, sketch).withColumn("fresh", F.lit(False)).union(new)
     links = neardup.verified(both, members, neardup.candidates(posts, t, fresh="fresh"), k, t)
     out = found(at, by_chunks.union(links))
     return out.select(F.shiftright("at", 32).cast("int").alias(b), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias(s))
 
 
-def proven(chunks: DataFrame, t: float) -> DataFrame:
-    """(a, b): different classes, a of a delivery, whose shared chunks (chunk, cls, n, news, generation) prove a similarity of t or more.
+def proven(table: DataFrame, t: float) -> DataFrame:
+    """(a, b): different classes, a of a delivery (generation over 0), whose shared chunks prove a similarity of t or more; table: (cls, n, chunk, news, generation).
 
     Shingles that start in a shared chunk are in both sets, and those counted
     for it start nowhere before; so their sum is at most what the sets have in
-    common. Chunks of more than COMMON records are left out, which can only
-    prove less.
+    common. A record reads out only chunks that a delivery may have and that, by
+    a count sketch, at most COMMON records have; the sketch errs towards more,
+    so less is proven, never more, and no hot chunk is shuffled.
     """
-    one = chunks.groupBy("chunk", "cls").agg(F.first("n").alias("n"), F.max("news").alias("news"), F.max("generation").alias("generation"))
-    few = one.groupBy("chunk").agg(F.count("*").alias("c")).where((F.col("c") > 1) & (F.col("c") <= COMMON)).select("chunk")
-    one = one.join(few, "chunk", "left_semi")
-    a, b = one.where("generation > 0").alias("a"), one.alias("b")
+    some = lambda x: text.mix(x.view(text.U), 41)
+    flat = lambda b: b.column("chunk").flatten().to_numpy(zero_copy_only=False)
+    total = table.agg(F.sum(F.size("chunk"))).first()[0] or 0
+    size = neardup.cells_for(4 * total, neardup.FLAGS)
+    cell = lambda x: (some(x) % text.U(size)).astype(np.int64)
+    fresh = table.where("generation > 0").select("chunk")
+    sketches = [merge_counts(x, lambda b: cell(flat(b)), size) for x in (table.select("chunk"), fresh)]
+    use = table.sparkSession.sparkContext.broadcast((sketches[0] > 1) & (sketches[0] <= COMMON) & (sketches[1] > 0))
+
+    def read(batches):
+        for b in batches:
+            lists = b.column("chunk")
+            x = flat(b)
+            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            i = np.flatnonzero(use.value[cell(x)]) if len(x) else np.zeros(0, dtype=np.int64)
+            at = pa.array(row[i])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i]), b.column("cls").take(at), b.column("n").take(at), b.column("news").flatten().take(pa.array(i)), b.column("fresh").take(at)], ["chunk", "cls", "n", "news", "fresh"])
+
+    one = table.select("cls", "n", "chunk", "news", (F.col("generation") > 0).alias("fresh")).mapInArrow(read, "chunk long, cls long, n int, news short, fresh boolean")
+    # a text may be in several tasks; of a chunk that recurs in a text only the first one has shingles that are new
+    one = one.groupBy("chunk", "cls").agg(F.first("n").alias("n"), F.max("news").cast("int").alias("news"), F.max("fresh").alias("fresh"))
+    a, b = one.where("fresh").alias("a"), one.alias("b")
     both = a.join(b, (F.col("a.chunk") == F.col("b.chunk")) & (F.col("a.cls") != F.col("b.cls")))
     sums = both.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.sum("a.news").alias("x"), F.sum("b.news").alias("y"))
     common = F.greatest("x", "y")
