@@ -32,7 +32,7 @@ SOUNDEX_LETTERS = ("abcdefghijklmnopqrstuvwxyz", "01230120022455012623010202")
 # Consonant classes of the script-agnostic code.
 ROMAN_UNITS = {"chh": "2", "ch": "2", "sh": "8", "kh": "1", "gh": "1", "th": "3", "dh": "3", "ph": "9", "bh": "9", "jh": "2", "rh": "6"}
 ROMAN_LETTERS = ("kqgxcjyztdnmrlshpbvwf", "111122223345678899999")
-DEVANAGARI_CLASSES = ("कखगघचछजझयटठडढतथदधङञणनमरलळसशषहपफबभव", "11112222233333333444456778888" + "99999")
+DEVANAGARI_CLASSES = ("कखगघचछजझयटठडढतथदधङञणनमरलळसशषहपफबभव", "1111222223333333344445677888899999")
 
 
 def nfc(c: Column) -> Column:
@@ -184,10 +184,10 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 # Romanisation of Devanagari.
-VOWELS = dict(zip("अ आ इ ई उ ऊ ऋ ए ऐ ओ औ ऍ ऑ ऎ ऒ".split(), "a aa i ii u uu ri e ai o au e o e o".split()))
-SIGNS = dict(zip("ा ि ी ु ू ृ े ै ो ौ ॅ ॉ ॆ ॊ".split(), "aa i ii u uu ri e ai o au e o e o".split()))
-CONSONANTS = dict(zip("क ख ग घ ङ च छ ज झ ञ ट ठ ड ढ ण त थ द ध न प फ ब भ म य र ल व ळ श ष स ह".split(), "k kh g gh ng ch chh j jh ny t th d dh n t th d dh n p ph b bh m y r l v l sh sh s h".split()))
-NUKTA = dict(zip("क ख ग ज ड ढ फ य".split(), "q kh g z r rh f y".split()))
+VOWELS = {"अ": "a", "आ": "aa", "इ": "i", "ई": "ii", "उ": "u", "ऊ": "uu", "ऋ": "ri", "ए": "e", "ऐ": "ai", "ओ": "o", "औ": "au", "ऍ": "e", "ऑ": "o", "ऎ": "e", "ऒ": "o"}
+SIGNS = {"ा": "aa", "ि": "i", "ी": "ii", "ु": "u", "ू": "uu", "ृ": "ri", "े": "e", "ै": "ai", "ो": "o", "ौ": "au", "ॅ": "e", "ॉ": "o", "ॆ": "e", "ॊ": "o"}
+CONSONANTS = {"क": "k", "ख": "kh", "ग": "g", "घ": "gh", "ङ": "ng", "च": "ch", "छ": "chh", "ज": "j", "झ": "jh", "ञ": "ny", "ट": "t", "ठ": "th", "ड": "d", "ढ": "dh", "ण": "n", "त": "t", "थ": "th", "द": "d", "ध": "dh", "न": "n", "प": "p", "फ": "ph", "ब": "b", "भ": "bh", "म": "m", "य": "y", "र": "r", "ल": "l", "व": "v", "ळ": "l", "श": "sh", "ष": "sh", "स": "s", "ह": "h"}
+NUKTA = {"क": "q", "ख": "kh", "ग": "g", "ज": "z", "ड": "r", "ढ": "rh", "फ": "f", "य": "y"}
 _UNITS = re.compile("([क-हळ]़?)|([अ-ऌऍ-औ])|([ा-ौॅॆॊ])|([०-९])|(.)", re.S)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Query parameters that only track.
-TRACKING = ("fbclid", "ref", "amp", "amp_js_v")
+TRACKING = ("fbclid", "ref", "amp_js_v", "amp")
 # Url parts of pages that are no articles.
 SKIP_PATTERNS = ("/rashifal", "/astrology", "/horoscope", "/dharm", "/photo-gallery", "/photos", "/videos", "/video", "/web-stories", "/visual-stories", "/live-updates", "/cricket-scorecard", "/games", "/entertainment/web-series")
 SKIP_DOMAINS = ("bbc.com", "news18.com", "ndtv.com", "ndtv.in")

@@ -205,7 +205,7 @@ def dense_rerank(ranked: DataFrame, sims: DataFrame, alpha: float = 0.5, depth:
     mixed = head.withColumn("mixed", (1 - alpha) * minmax(F.col("score"), "qid") + alpha * minmax(F.col("sim"), "qid"))
     tail = x.where(F.col("rank") > depth).withColumn("mixed", F.lit(None).cast("double"))
     stage = [F.col("stage")] if "stage" in ranked.columns else []
-    order = W.partitionBy("qid").orderBy(F.col("mixed").isNull(), *stage, F.desc("mixed"), F.when(F.col("mixed").isNull(), F.col("rank")), "doc_id")
+    order = W.partitionBy("qid").orderBy(F.col("mixed").isNull(), *stage, F.desc(F.round("mixed", 9)), F.when(F.col("mixed").isNull(), F.col("rank")), "doc_id")
     return mixed.unionByName(tail).withColumn("rank", F.row_number().over(order))
 
 
@@ -216,45 +216,131 @@ def vector_cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def dense_search(queries: DataFrame, docs: DataFrame, k: int = 10, block: int = 20_000) -> DataFrame:
-    """(qid, doc_id, sim, rank): the k nearest of ``docs`` (doc_id, vec) by cosine for each of ``queries`` (qid, vec), without the row of the same id.
+#: Bytes of query vectors that a task holds at a time, and rows of the sample that an index of vectors is fitted on.
+BLOCK_BYTES, FIT_ROWS = 64 << 20, 20_000
 
-    A set of queries against all rows: queries go in blocks of about ``block``
-    vectors, which is what a task holds; every task keeps its k best per query,
-    so what is shuffled does not grow with the rows of a task. Ties to nine
-    digits go to the smaller id. Null vectors match nothing.
+
+def _unit(rows):
+    import numpy as np
+
+    v = np.stack(rows).astype(np.float64) if len(rows) else np.zeros((0, 1))
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _best(s, own, k: int):
+    """Indices of the k largest values of a row, ties to the smaller id; all values equal to the k-th are sorted, no others."""
+    import numpy as np
+
+    if len(s) > k:
+        i = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+    else:
+        i = np.arange(len(s))
+    return i[np.lexsort((own[i], -s[i]))][:k]
+
+
+def dense_search(queries: DataFrame, docs: DataFrame, k: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(qid, doc_id, sim, rank): the k nearest of ``docs`` (doc_id, vec) by cosine for each of ``queries`` (qid, vec), without the row of the same id. Exact.
+
+    A set of queries against all rows: queries go in blocks of at most
+    ``block_bytes`` of vectors, which is what a task holds; a task keeps its k
+    best per query over all its rows, so what is shuffled does not grow with
+    them. Ties to nine digits go to the smaller id. Null vectors match nothing.
     """
     import numpy as np
     import pandas as pd
 
     queries, docs = queries.where("vec is not null and qid is not null"), docs.where("vec is not null and doc_id is not null")
-    blocks = max(1, -(-queries.count() // block))
+    n, width = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
+    blocks = max(1, -(-n * 8 * (width or 1) // block_bytes))
     kinds = dict(queries.dtypes)["qid"], dict(docs.dtypes)["doc_id"]
     out = None
     for i in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).select("qid", "vec").toPandas()
-        m = np.stack(rows["vec"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1))
-        shared = docs.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
+        shared = docs.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy(), _unit(rows["vec"].to_numpy())))
 
         def best(batches, shared=shared):
             ids, qm = shared.value
+            kept: list = [None] * len(ids)
             for pdf in batches:
-                v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                own = pdf["doc_id"].to_numpy()
+                v, own = _unit(pdf["vec"].to_numpy()), pdf["doc_id"].to_numpy()
                 for a in range(0, len(ids), 256):
                     s = np.round(qm[a : a + 256] @ v.T, 9)
                     s[ids[a : a + 256][:, None] == own[None, :]] = -9
                     for j in range(s.shape[0]):
-                        order = np.lexsort((own, -s[j]))[:k]
-                        order = order[s[j][order] > -2]
-                        yield pd.DataFrame({"qid": ids[a + j], "doc_id": own[order], "sim": s[j][order]})
+                        at = _best(s[j], own, k)
+                        x, o = s[j][at], own[at]
+                        if kept[a + j] is not None:
+                            x, o = np.r_[kept[a + j][0], x], np.r_[kept[a + j][1], o]
+                            at = _best(x, o, k)
+                            x, o = x[at], o[at]
+                        kept[a + j] = x, o
+            for q, got in zip(ids, kept):
+                if got is not None:
+                    ok = got[0] > -2
+                    yield pd.DataFrame({"qid": np.repeat(q, ok.sum()), "doc_id": got[1][ok], "sim": got[0][ok]})
 
         part = docs.select("doc_id", "vec").mapInPandas(best, f"qid {kinds[0]}, doc_id {kinds[1]}, sim double")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "doc_id"))).where(F.col("rank") <= k)
 
 
+def vector_cells(docs: DataFrame, cells: int = 64, rounds: int = 8, seed: int = 7):
+    """Unit centroids (numpy) of ``cells`` cells: spherical k-means on the FIT_ROWS rows with the smallest hashes of their ids at most, a bounded sample; every row is indexed."""
+    import numpy as np
+
+    docs = docs.where("vec is not null and doc_id is not null")
+    share = int((1 << 62) * min(1.0, 2 * FIT_ROWS / max(1, docs.count()) + 1e-12))
+    rows = docs.select(F.xxhash64("doc_id").bitwiseAND((1 << 62) - 1).alias("h"), "vec").where(F.col("h") <= share).orderBy("h").limit(FIT_ROWS).collect()
+    v = _unit([r.vec for r in rows])
+    c = v[np.random.default_rng(seed).permutation(len(v))[: min(cells, len(v))]]
+    for _ in range(rounds if len(v) else 0):
+        at = np.argmax(v @ c.T, axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, at, v)
+        c = np.where(np.bincount(at, minlength=len(c))[:, None] > 0, total, c)
+        c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+    return c
+
+
+def cell_search(queries: DataFrame, docs: DataFrame, centroids, k: int = 10, probes: int = 32, salts: int = 8) -> DataFrame:
+    """(qid, doc_id, sim, rank): ``dense_search`` among the rows of the ``probes`` cells nearest to a query only.
+
+    Rows and queries meet by (cell, part): a cell of a third of all rows is cut
+    into ``salts`` parts by a hash of the id, each of which gives its k best.
+    """
+    import numpy as np
+    import pandas as pd
+
+    shared = docs.sparkSession.sparkContext.broadcast(centroids)
+
+    def nearest(count: int, name: str):
+        def run(batches):
+            for pdf in batches:
+                s = _unit(pdf["vec"].to_numpy()) @ shared.value.T
+                yield pdf.assign(cells=list(np.argsort(-s, axis=1, kind="stable")[:, :count].astype(np.int32)))[[name, "vec", "cells"]]
+
+        return run
+
+    kinds = dict(queries.dtypes)["qid"], dict(docs.dtypes)["doc_id"], dict(docs.dtypes)["vec"]
+    d = docs.where("vec is not null and doc_id is not null").select("doc_id", "vec").mapInPandas(nearest(1, "doc_id"), f"doc_id {kinds[1]}, vec {kinds[2]}, cells array<int>")
+    d = d.select("doc_id", "vec", F.col("cells")[0].alias("cell"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("part"))
+    q = queries.where("vec is not null and qid is not null").select("qid", "vec").mapInPandas(nearest(probes, "qid"), f"qid {kinds[0]}, vec {kinds[2]}, cells array<int>")
+    q = q.select("qid", "vec", F.explode("cells").alias("cell")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"qid": left["qid"].iloc[:0], "doc_id": right["doc_id"].iloc[:0], "sim": np.zeros(0)})
+        ids, own = left["qid"].to_numpy(), right["doc_id"].to_numpy()
+        s = np.round(_unit(left["vec"].to_numpy()) @ _unit(right["vec"].to_numpy()).T, 9)
+        s[ids[:, None] == own[None, :]] = -9
+        at = [_best(x, own, k) for x in s]
+        out = pd.DataFrame({"qid": np.repeat(ids, [len(x) for x in at]), "doc_id": own[np.concatenate(at)], "sim": np.concatenate([x[i] for x, i in zip(s, at)])})
+        return out[out["sim"] > -2]
+
+    x = q.groupBy("cell", "part").cogroup(d.groupBy("cell", "part")).applyInPandas(score, f"qid {kinds[0]}, doc_id {kinds[1]}, sim double")
+    return x.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("sim"), "doc_id"))).where(F.col("rank") <= k)
+
+
 def text_vectors(post: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, term, w): unit log-tf vectors of the documents in ``ids`` (doc_id)."""
     tf = post.join(small(ids.distinct()), "doc_id").groupBy("doc_id", "term").agg((1 + F.log10(F.sum("tf"))).alias("w"))

@@ -123,6 +123,12 @@ def postings(spark, d):
     return idx(spark, d).post.withColumn("positions", F.concat_ws(" ", F.col("positions").cast("array<string>")))
 
 
+@register("index_saved", WITH + "select count(*) as postings, count(distinct term) as terms, sum(tf)::bigint as words from (select term, zone, doc_id, count(*) as tf from tok group by term, zone, doc_id)")
+def index_saved(spark, d):
+    """Builds and saves the index that the queries after it read; its postings counted."""
+    return idx(spark, d, keep=True).post.agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("words"))
+
+
 @register("term_stats", WITH + "select term, df, cf, round(idf, 6) as idf from terms")
 def term_stats(spark, d):
     return r6(idx(spark, d).terms, "idf")
@@ -680,6 +686,32 @@ def dense_top10(spark, d):
     return x.select("qid", "doc_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
+@register("dense_cells_top10", None)
+def dense_cells_top10(spark, d):
+    """The same search through an index of cells; its recall is measured by ``dense_recall``."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    x = rank.cell_search(e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid"), e, rank.vector_cells(e), 10)
+    return x.select("qid", "doc_id", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("dense_recall", None)
+def dense_recall(spark, d):
+    """(recall, queries): share of the exact ten nearest that the index of cells finds."""
+    a, b = dense_top10(spark, d).select("qid", "doc_id"), dense_cells_top10(spark, d).select("qid", "doc_id").withColumn("hit", F.lit(1))
+    return a.join(b, ["qid", "doc_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"), F.countDistinct("qid").alias("queries"))
+
+
+@register("dense_reranked", WITH + ", fr as (select * from (" + "select qid, doc_id, score, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from bm" + ") where rank <= 30), em as (select vec_id, embedding from embeddings), qe as (select qid, doc_id as top from fr where rank = 1), si as (select fr.qid, fr.doc_id, fr.rank, fr.score, coalesce(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 0) as sim from fr join qe on qe.qid = fr.qid left join em a on a.vec_id = qe.top left join em b on b.vec_id = fr.doc_id), mm as (select *, case when max(score) over w = min(score) over w then 1.0 else (score - min(score) over w) / (max(score) over w - min(score) over w) end as x, case when max(sim) over w = min(sim) over w then 1.0 else (sim - min(sim) over w) / (max(sim) over w - min(sim) over w) end as y from si window w as (partition by qid)) select qid, doc_id, round(0.5 * x + 0.5 * y, 6) as mixed, row_number() over (partition by qid order by round(0.5 * x + 0.5 * y, 9) desc, doc_id) as rank from mm")
+def dense_reranked(spark, d):
+    """BM25's thirty best, mixed with their vectors' likeness to that of the first."""
+    q = q_exact(spark)
+    first = match.top(rank.bm25(q, idx(spark, d, keep=True)), 30)
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    top = first.where("rank = 1").join(e, "doc_id").select("qid", F.col("vec").alias("top"))
+    sims = first.select("qid", "doc_id").join(e, "doc_id").join(top, "qid").select("qid", "doc_id", rank.vector_cosine(F.col("top"), F.col("vec")).alias("sim"))
+    return r6(rank.dense_rerank(first, sims), "mixed").select("qid", "doc_id", "mixed", F.col("rank").cast("long").alias("rank"))
+
+
 # ------------------------------------------------------------------ evaluation: runs of the queries, judged by a rule over the documents
 _JUDGE = ", gr as (select q.qid, tok.doc_id, case when count(distinct idx) = any_value(n.n) then 2 when count(distinct idx) * 2 >= any_value(n.n) then 1 else 0 end as grade from q join tok on q.term = tok.term join (select qid, count(distinct idx) as n from q group by qid) n on n.qid = q.qid group by q.qid, tok.doc_id), rel as (select qid, count(*) as relevant from gr where grade >= 1 group by qid), run as (select qid, doc_id, row_number() over (partition by qid order by round(score, 9) desc, doc_id desc) as rank from bm qualify rank <= 30), j as (select run.*, coalesce(grade, 0) as grade, case when grade >= 1 then 1 else 0 end as isrel, sum(case when grade >= 1 then 1 else 0 end) over (partition by run.qid order by rank) as hits from run left join gr on gr.qid = run.qid and gr.doc_id = run.doc_id)"
 

@@ -11,7 +11,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by all executors.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder is made and set for the context.
+    and all runs on one machine (tests) a temporary folder is made and set for
+    the context; on a cluster it is an error.
     """
     sc = spark.sparkContext
     set_already = sc._jsc.sc().getCheckpointDir()
@@ -19,6 +20,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return set_already.get()
     named = spark.conf.get("spark.checkpoint.dir", "")
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sift-checkpoint-")
     sc.setCheckpointDir(named)
     return named

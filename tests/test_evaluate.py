@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siftspark.functions import text as X
 from siftspark.operators import evaluate, rewrite
 
 
@@ -72,3 +73,25 @@ def test_viterbi_joint_best(spark):
     cooc = spark.createDataFrame([("B", "Y", 50)], "a string, b string, cooc int")
     assert [r.term for r in rewrite.viterbi(lattice, cooc).orderBy("pos").collect()] == ["B", "Y"]
     assert [r.term for r in rewrite.viterbi(lattice, cooc.limit(0)).orderBy("pos").collect()] == ["A", "X"]
+
+
+def test_learnt_costs_by_hand(spark):
+    import math
+
+    pairs = spark.createDataFrame([("ab", "ab"), ("ab", "cb"), (None, "x")], "canonical string, human string")
+    got = {(r.src, r.dst): r for r in rewrite.learn_costs(pairs, 1).collect()}
+    # operations a-a, b-b, a-c, b-b: three targets and one for the unseen
+    assert set(got) == {("a", "a"), ("a", "c"), ("b", "b")}
+    assert abs(got["a", "c"].cost + math.log(2 / 6)) < 1e-12 and abs(got["b", "b"].cost + math.log(3 / 6)) < 1e-12
+    assert abs(got["a", "a"].unseen + math.log(1 / 6)) < 1e-12
+
+
+def test_stem_classes_and_auto_stems(spark):
+    rows = [(i, w) for i, w in enumerate(["लड़का"] * 6 + ["लड़के"] * 5 + ["लड़कों"] * 3 + ["पानी"] * 4)]
+    words = spark.createDataFrame(rows, "doc_id int, word string")
+    c = rewrite.stem_candidates(words, X.light_stem(F.col("word"))).collect()
+    assert all(x.verdict in ("STRONG", "GOOD", "REVIEW", "REJECT") for x in c) and any(x.forms == 3 and x.freq == 14 for x in c)
+    classes, pairs = rewrite.stem_collisions(words, X.light_stem(F.col("word")))
+    assert [x.verdict for x in classes.collect()] == ["SAFE"] and pairs.count() == 3
+    assert rewrite.auto_stems(words.limit(0)).count() == 0
+    assert {x.stem_form for x in rewrite.auto_stems(words).collect()} <= {"लड़का"}

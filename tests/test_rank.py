@@ -136,3 +136,27 @@ def test_save_and_load(spark, idx, tmp_path):
     assert index.Index.load(spark, str(tmp_path), "none").post.count() == idx.post.count()
     with pytest.raises(ValueError):
         index.Index.load(spark, str(tmp_path), "other")
+
+
+def test_search_query_checks_mode_and_zone(spark, idx):
+    qs = spark.createDataFrame([("a", "पुल")], "qid string, query string")
+    assert match.search_query(idx, qs).count() >= 0
+    for kw in ({"mode": "other"}, {"mode": "light"}, {"zone": "both"}):
+        with pytest.raises(ValueError):
+            match.search_query(idx, qs, **kw)
+
+
+def test_cells_hold_every_row(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(300)] + [(900, None)]
+    e = spark.createDataFrame(rows, "doc_id long, vec array<double>")
+    q = e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid")
+    exact = {(x.qid, x.doc_id) for x in rank.dense_search(q, e, 5).collect()}
+    v = {i: np.array(x) / np.linalg.norm(x) for i, x in rows if x}
+    want = {(a, b) for a in v if a % 20 == 0 for b in sorted((b for b in v if b != a), key=lambda b: -float(v[a] @ v[b]))[:5]}
+    assert exact == want
+    c = rank.vector_cells(e, 10)
+    assert {(x.qid, x.doc_id) for x in rank.cell_search(q, e, c, 5, probes=10).collect()} == want
+    assert rank.dense_search(q.limit(0), e, 5).count() == 0 and rank.cell_search(q, e.limit(0), c, 5).count() == 0

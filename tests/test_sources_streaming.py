@@ -102,3 +102,34 @@ def test_backoff(spark):
     rows = [("h", 0, 429), ("h", 1, 429), ("h", 2, 200), ("h", 3, 429), ("h", 4, 403), ("h", 5, 200)]
     got = crawl.host_backoff(spark.createDataFrame(rows, "host string, seq int, status int")).orderBy("seq").collect()
     assert [(r.wait, r.shut) for r in got] == [(2.0, False), (4.0, False), (0.0, False), (2.0, False), (0.0, True), (0.0, True)]
+
+
+def test_hot_keys_cut_into_spans(spark):
+    import random
+
+    r = random.Random(6)
+    at, rows = 0.0, []
+    for i in range(400):
+        at += r.choice([0.0, 30.0, 900.0])
+        rows.append(("hot", at, float(r.randint(0, 9)), i, r.choice([200, 429, 429, 403 if i > 380 else 429])))
+    df = spark.createDataFrame(rows, "source string, ts double, delta_n double, seq int, status int")
+    a, b = ({(x.ts, round(x.rate, 9)) for x in crawl.ewma(df.dropDuplicates(["ts"]), width=w).collect()} for w in (500.0, 1e9))
+    assert a == b
+    h = df.withColumnsRenamed({"source": "host", "ts": "arrive"})
+    a, b = ({(x.seq, round(x.start, 6)) for x in crawl.polite_schedule(h, width=w).collect()} for w in (60.0, 1e9))
+    assert a == b
+    a, b = ({tuple(x) for x in crawl.host_backoff(h, width=w).collect()} for w in (7, 1 << 30))
+    assert a == b
+    e = df.select(F.lit("k").alias("category"), F.timestamp_seconds("ts").alias("ts"))
+    got = sorted((x.ts, x.c1, x.c6) for x in crawl.burst_scores(e).collect())
+    t = sorted(x[1] for x in rows)
+    want = [(sum(s - 3600 <= y <= s for y in t), sum(s - 21600 <= y <= s for y in t)) for s in t]
+    assert [x[1:] for x in got] == want
+
+
+def test_epochs_are_not_written_twice(spark, tmp_path):
+    spark.range(30).select(F.col("id").cast("string").alias("doc_id")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    run = lambda cp: crawl.take_first(spark.readStream.schema("doc_id string").parquet(str(tmp_path / "in")), str(tmp_path / "out"), 40, str(tmp_path / cp)).awaitTermination()
+    run("a")
+    run("b")  # a lost checkpoint: the same epoch again
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30
