@@ -80,9 +80,11 @@ def seen_before(history: DataFrame, batches: DataFrame, text_col: str, order: li
     by_chunks = cut(proven(table.read(), t))
     open_ = at.where("at >= 0").join(found(at, by_chunks), "at", "left_anti").select("cls").distinct().withColumn("fresh", F.lit(True))
     sketch = spark.sparkContext.broadcast(counts)
-    # a class of the history decides its deliveries, so only deliveries are open
-    new = neardup.prefix_rows(n, k, t, sketch).join(cut(open_), "cls", "left").select("tok", "cls", "n", "p", "q", F.coalesce("fresh", F.lit(False)).alias("fresh"))
-    posts = neardup.prefix_rows(h, k, t, sketch).withColumn("fresh", F.lit(False)).union(new)
+    # a class of the history decides its deliveries, so only deliveries are open; others are read for the tokens of open ones only
+    open_ = cut(open_)
+    fresh = cut(neardup.prefix_rows(n, k, t, sketch).join(open_, "cls").select("tok", "cls", "n", "p", "q", "fresh"))
+    rest = neardup.prefix_rows(both, k, t, sketch, neardup.token_flags(fresh)).withColumn("fresh", F.lit(False))
+    posts = fresh.union(rest).groupBy("tok", "cls").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("q").alias("q"), F.max("fresh").alias("fresh"))
     links = neardup.verified(both, members, neardup.candidates(posts, t, fresh="fresh"), k, t)
     out = found(at, by_chunks.union(links))
     return out.select(F.shiftright("at", 32).cast("int").alias(b), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias(s))

@@ -114,8 +114,18 @@ def prefixes(v: np.ndarray, o: np.ndarray, sketch: np.ndarray, t: float):
     return i, doc[i], np.where(in0[i], p0[i], -1), np.where(in1[i], p1[i], -1), n
 
 
-def prefix_rows(docs: DataFrame, k: int, t: float, sketch) -> DataFrame:
-    """(tok, cls, n, p, q) of each distinct text of ``docs`` (text): the shingles in the prefix of its set under either global order, and their ranks."""
+def token_flags(posts: DataFrame):
+    """Broadcast bitmap of bounded size of the tokens in ``posts``; false hits cost time but change nothing."""
+    size = cells_for(8 * posts.count(), FLAGS)
+    return posts.sparkSession.sparkContext.broadcast(merge_counts(posts.select("tok"), lambda b: flag_cells(b.column("tok").to_numpy(), size), size) > 0)
+
+
+def flag_cells(tok: np.ndarray, size: int) -> np.ndarray:
+    return (text.mix(tok.view(text.U), 51) % text.U(size)).astype(np.int64)
+
+
+def prefix_rows(docs: DataFrame, k: int, t: float, sketch, flags=None) -> DataFrame:
+    """(tok, cls, n, p, q) of each distinct text of ``docs`` (text): the shingles in the prefix of its set under either global order, and their ranks; with ``flags`` of ``token_flags`` only those."""
 
     def run(batches):
         seen: set[int] = set()
@@ -123,7 +133,7 @@ def prefix_rows(docs: DataFrame, k: int, t: float, sketch) -> DataFrame:
             for _, w, v, o, cls in sets_of(batch, "text", k):
                 new = unseen(cls, w.per_doc > 0, seen)
                 i, d, p, q, n = prefixes(v, o, sketch.value, t)
-                ok = new[d]
+                ok = new[d] if flags is None else new[d] & flags.value[flag_cells(v[i], len(flags.value))]
                 i, d, p, q = i[ok], d[ok], p[ok], q[ok]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v[i].view(np.int64)), pa.array(cls[d].view(np.int64)), pa.array(n[d].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32))],
