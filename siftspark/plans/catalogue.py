@@ -985,21 +985,32 @@ def judging_progress(spark, d):
     return evaluate.progress(evaluate.pool(match.top(rank.bm25(q, i), 20), 20), done)
 
 
-@register("expanded_bm25", None)
+_EXPANDED = [("h1", "nahar safai"), ("h2", "mandi samiti"), ("h3", "canal bridge")]
+
+
+def _expanded(spark, d) -> DataFrame:
+    """Variants of the words of the Roman queries, weighed by the language of each word."""
+    q = rank.exact_query(spark.createDataFrame(_EXPANDED, "qid string, query string"))
+    words = languages(spark, d, q.select(F.col("term").alias("word"))).select("word", "en")
+    return q, rewrite.weighted_variants(words, _vocab(spark, d))
+
+
+_EXPANDED_SQL = with_sql(_EXPANDED) + f", {_ENGLISH}, w5 as (select distinct term as word, term as low, {_EN.format(w='term')} as en from q), {_variants_sql('w5')}"
+
+
+@register("expanded_bm25", _EXPANDED_SQL + ", ex as (select qid, idx, term, max(weight) as weight from (select qid, idx, term, 1.0 as weight from q union all select q.qid, q.idx, va.term, va.weight from q join va on va.word = q.term where length(q.term) >= 2 and not regexp_matches(q.term, '[0-9]') and va.weight >= 0.05) group by qid, idx, term), eq as (select qid, term, sum(weight) as qtf from ex group by qid, term), eb as (" + _BM.format("eq") + ") " + _TOP.format("eb"))
 def expanded_bm25(spark, d):
-    i = idx(spark, d, keep=True)
-    q = rank.exact_query(spark.createDataFrame([("h1", "nahar safai"), ("h2", "mandi samiti"), ("h3", "canal bridge")], "qid string, query string"))
-    words = q.select(F.col("term").alias("word"), F.lit(0.1).alias("en")).distinct()
-    full = rewrite.index_query(rewrite.expand(q, rewrite.weighted_variants(words, _vocab(spark, d))), "none")
-    return r6(match.top(rank.bm25(full, i), 10), "score")
+    q, variants = _expanded(spark, d)
+    full = rewrite.index_query(rewrite.expand(q, variants), "none")
+    return r6(match.top(rank.bm25(full, idx(spark, d, keep=True)), 10), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("translated_query", None)
+@register("translated_query", "select * from (values ('t1', 0, 'school', 1.0, 'exact'), ('t1', 0, 'स्कूल', 0.54, 'xling'), ('t1', 0, 'भवन', 0.36, 'xling'), ('t1', 4, 'city', 1.0, 'exact'), ('t2', 0, 'canal', 1.0, 'exact'), ('t2', 0, 'नहर', 0.9, 'xling'), ('t2', 1, 'water', 1.0, 'exact'), ('t2', 1, 'पानी', 0.9, 'xling')) v(qid, idx, term, weight, source)")
 def translated_query(spark, d):
     q = rank.exact_query(spark.createDataFrame([("t1", "school building in the city"), ("t2", "canal water")], "qid string, query string"))
     dic = spark.createDataFrame([("school building", "स्कूल", 0.6), ("school building", "भवन", 0.4), ("canal", "नहर", 1.0), ("water", "पानी", 1.0)], "phrase string, term string, weight double")
     langs = q.select(F.col("term").alias("word")).distinct().withColumn("en", F.lit(0.9))
-    return rewrite.translate(q, dic, langs, ("in", "the"))
+    return r6(rewrite.translate(q, dic, langs, ("in", "the")), "weight")
 
 
 @register("lsh_candidates", None)
@@ -1007,11 +1018,15 @@ def lsh_candidates(spark, d):
     return dedup.candidates(dedup.signatures(dedup.members_of(table(spark, d, "articles"))))
 
 
-@register("corrected_queries", None)
+@register("corrected_queries", _EXPANDED_SQL + ", la as (select q.qid, q.idx as pos, va.term, va.weight from q join va on va.word = q.term where va.weight > 0), co as (select a.term as a, b.term as b, count(*) as c from (select distinct la.qid, la.pos, la.term, tf.doc_id from la join tf on tf.term = la.term) a join (select distinct la.qid, la.pos, la.term, tf.doc_id from la join tf on tf.term = la.term) b on a.qid = b.qid and b.pos = a.pos + 1 and a.doc_id = b.doc_id group by a.qid, a.pos, a.term, b.term), cx as (select a, b, max(c) as c from co group by a, b), pt as (select x.qid, x.term as t0, y.term as t1, ln(x.weight) + ln(y.weight) + ln(1 + coalesce(cx.c, 0)) as s from la x join la y on x.qid = y.qid and x.pos = 0 and y.pos = 1 left join cx on cx.a = x.term and cx.b = y.term), be as (select * from pt qualify row_number() over (partition by qid order by round(s, 9) desc) = 1), si as (select qid, pos, term from la where qid not in (select qid from be) qualify row_number() over (partition by qid, pos order by weight desc, term) = 1) select qid, 0 as pos, t0 as term from be union all select qid, 1, t1 from be union all select qid, pos, term from si")
 def corrected_queries(spark, d):
-    n = table(spark, d, "names").select("canonical", F.explode("variants").alias("v"))
-    lattice = n.select(F.lit("n").alias("qid"), (F.dense_rank().over(W.partitionBy(F.lit(1)).orderBy("canonical")) - 1).alias("pos"), F.col("v").alias("term"), (1.0 / F.char_length("v")).alias("weight"))
-    cooc = spark.createDataFrame([], "a string, b string, cooc int")
+    """The variants of a query's words that go best together, by the documents that hold both."""
+    q, variants = _expanded(spark, d)
+    lattice = q.select("qid", F.col("idx").alias("pos"), F.col("term").alias("word")).join(variants, "word").select("qid", "pos", "term", "weight")
+    post = index.restrict(idx(spark, d, keep=True), lattice.select("term")).post.select("term", "doc_id").distinct()
+    at = lattice.select("qid", "pos", "term").join(post, "term")
+    a, b = at.select("qid", "pos", F.col("term").alias("a"), "doc_id"), at.select("qid", (F.col("pos") - 1).alias("pos"), F.col("term").alias("b"), "doc_id")
+    cooc = a.join(b, ["qid", "pos", "doc_id"]).groupBy("qid", "pos", "a", "b").agg(F.count("*").alias("cooc")).groupBy("a", "b").agg(F.max("cooc").alias("cooc"))
     return rewrite.viterbi(lattice, cooc)
 
 
