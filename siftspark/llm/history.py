@@ -78,13 +78,16 @@ def seen_before(history: DataFrame, batches: DataFrame, text_col: str, order: li
     # a set of the history and of a delivery may go by either row: its deliveries are found by the history anyway
     at = cut(members.select("cls", F.greatest("id", F.lit(-1)).alias("at")).distinct())
     by_chunks = cut(proven(table.read(), t))
-    open_ = at.where("at >= 0").join(found(at, by_chunks), "at", "left_anti").select("cls").distinct().withColumn("fresh", F.lit(True))
+    open_ = at.where("at >= 0").join(found(at, by_chunks), "at", "left_anti").select("cls").distinct()
     sketch = spark.sparkContext.broadcast(counts)
     # a class of the history decides its deliveries, so only deliveries are open; others are read for the tokens of open ones only
     open_ = cut(open_)
-    fresh = cut(neardup.prefix_rows(n, k, t, sketch).join(open_, "cls").select("tok", "cls", "n", "p", "q", "fresh"))
-    rest = neardup.prefix_rows(both, k, t, sketch, neardup.token_flags(fresh)).withColumn("fresh", F.lit(False))
-    posts = fresh.union(rest).groupBy("tok", "cls").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("q").alias("q"), F.max("fresh").alias("fresh"))
+    marks = neardup.hash_flags(open_, "cls")
+    # by one bitmap, each class of a delivery is either fresh, with all tokens of its prefixes, or read with the history
+    fresh = cut(neardup.prefix_rows(n, k, t, sketch, only=marks))
+    flags = neardup.hash_flags(fresh, "tok")
+    rest = neardup.prefix_rows(h, k, t, sketch, flags).union(neardup.prefix_rows(n, k, t, sketch, flags, but=marks))
+    posts = fresh.withColumn("fresh", F.lit(True)).union(rest.withColumn("fresh", F.lit(False)))
     links = neardup.verified(both, members, neardup.candidates(posts, t, fresh="fresh"), k, t)
     out = found(at, by_chunks.union(links))
     return out.select(F.shiftright("at", 32).cast("int").alias(b), F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias(s))
@@ -119,7 +122,7 @@ def proven(table: DataFrame, t: float) -> DataFrame:
 
     one = table.select("cls", "n", "chunk", "news", (F.col("generation") > 0).alias("fresh")).mapInArrow(read, "chunk long, cls long, n int, news short, fresh boolean")
     # a text may be in several tasks; of a chunk that recurs in a text only the first one has shingles that are new
-    one = one.groupBy("chunk", "cls").agg(F.first("n").alias("n"), F.max("news").cast("int").alias("news"), F.max("fresh").alias("fresh"))
+    one = one.repartition("chunk").groupBy("chunk", "cls").agg(F.first("n").alias("n"), F.max("news").cast("int").alias("news"), F.max("fresh").alias("fresh"))
     a, b = one.where("fresh").alias("a"), one.alias("b")
     both = a.join(b, (F.col("a.chunk") == F.col("b.chunk")) & (F.col("a.cls") != F.col("b.cls")))
     sums = both.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.sum("a.news").alias("x"), F.sum("b.news").alias("y"))

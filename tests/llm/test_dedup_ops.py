@@ -1,6 +1,7 @@
 """Problems 2, 3, 4, 6 and 7 on small fixtures, against brute force; nulls, empty and repeated rows, empty tables, clashing columns."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +247,34 @@ def test_batches_one_by_one(spark):
     rows = [(1, 0, a), (1, 1, b), (1, 2, b), (2, 0, b), (2, 1, c), (2, 2, None), (None, 3, c)]
     got = {(x.batch_no, x.seq): x.accepted for x in history.accept_batches(h, spark.createDataFrame(rows, "batch_no int, seq int, body string"), "doc_id", "body", ["batch_no", "seq"]).collect()}
     assert got == {(1, 0): False, (1, 1): True, (1, 2): False, (2, 0): False, (2, 1): True, (2, 2): False}
+
+
+def test_sort_within_is_lexsort():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    doc = np.repeat(np.arange(300), 40)
+    for key in (r.integers(0, 1 << 63, len(doc)).astype(np.uint64) * np.uint64(2), r.integers(0, 9, len(doc)).astype(np.uint64), r.integers((1 << 63) - 900, 1 << 63, len(doc)).astype(np.uint64)):
+        assert (text.sort_within(doc, key) == np.lexsort((key, doc))).all()
+    assert len(text.sort_within(doc[:0], doc[:0].astype(np.uint64))) == 0
+
+
+def test_p7_shuffles_chunks_and_tokens_once(spark, tmp_path, monkeypatch):
+    seen = []
+    of = neardup.candidates
+    monkeypatch.setattr(neardup, "candidates", lambda *a, **kw: seen.append(of(*a, **kw)) or seen[-1])
+    h = spark.createDataFrame([("x", "a b c d e f g h")], "doc_id string, body string")
+    b = spark.createDataFrame([(1, 0, "a b c d e f g h"), (1, 1, "p q r s t u v w x y z"), (2, 0, "p q r s t u v w x y z k")], "batch_no int, seq int, body string")
+    table = history.ChunkTable(spark, str(tmp_path / "t"))
+    got = {tuple(r) for r in history.seen_before(h, b, "body", ["batch_no", "seq"], 4, 0.7, table).collect()}
+    assert got == {(1, 0), (2, 0)}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df, key in ((history.proven(table.read(), 0.7), "chunk"), (seen[0], "tok")):
+        assert re.search(rf"hashpartitioning\({key}#\d+L?,", plan(df)) and not re.search(rf"hashpartitioning\({key}#\d+L?, cls", plan(df))
+
+
+def test_a_class_is_fresh_if_it_is_so_in_one_task(spark):
+    row = lambda tok, cls, fresh: (tok, cls, 4, tok, tok, fresh)
+    rows = [row(i, c, f) for i in range(4) for c, f in ((1, False), (2, True))] + [row(i, 1, True) for i in range(4)] + [row(i, 3, False) for i in range(4)] + [row(i, 4, False) for i in range(4)]
+    posts = spark.createDataFrame(rows, "tok long, cls long, n int, p int, q int, fresh boolean")
+    assert {tuple(r) for r in neardup.candidates(posts, 0.7, fresh="fresh").collect()} == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)}
