@@ -238,3 +238,18 @@ def test_long_notices_are_evidence():
     s = "Please enable JavaScript in the settings of the program with which you read this page, then load the page again and wait until all parts of it have been shown on the screen."
     assert len(s.split()) > 24 and residue.evidence(s) == "script"
     assert residue.evidence("") is None and residue.text_evidence(None) is None
+
+
+def test_reading_has_the_scores_of_training():
+    import numpy as np
+
+    from siftspark.llm import pii
+
+    r = np.random.default_rng(6)
+    tagger = pii.Tagger()
+    ids = r.integers(1, pii.FLAGS * pii.CHARS, (7, 40))
+    ids[3, 25:] = pii.PAD
+    want = tagger.emissions(ids)
+    assert np.allclose(tagger.read(ids).reshape(want.shape), want, atol=1e-4)
+    # one array without gaps for each gate: columns of a wider one take several times as long
+    assert all(len(gates) == 4 and all(x.shape[1] == tagger.hidden and x.flags.c_contiguous for x in gates) for gates in tagger.Tr)
