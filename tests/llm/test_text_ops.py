@@ -241,10 +241,6 @@ def test_long_notices_are_evidence():
 
 
 def test_reading_has_the_scores_of_training():
-    import numpy as np
-
-    from siftspark.llm import pii
-
     r = np.random.default_rng(6)
     tagger = pii.Tagger()
     ids = r.integers(1, pii.FLAGS * pii.CHARS, (7, 40))
